@@ -1,0 +1,71 @@
+import hashlib
+import re
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.llm import decontamination, queries
+
+LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def tokens(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def brute(docs, items, window=10):
+    found = {}
+    for i, text in items:
+        w = tokens(text)
+        k = min(len(w), window)
+        for j in range(len(w) - k + 1 if k else 0):
+            found.setdefault(tuple(w[j : j + k]), set()).add(i)
+    sizes = {len(k) for k in found}
+    out = []
+    for d, text in docs:
+        w = tokens(text)
+        hit, who = set(), set()
+        for k in sizes:
+            for j in range(len(w) - k + 1):
+                if (x := found.get(tuple(w[j : j + k]))) is not None:
+                    hit |= set(range(j, j + k))
+                    who |= x
+        out.append((d, len(w), len(hit), sorted(who)))
+    return out
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()]
+    items = [(str(r["item_id"]), r["text"]) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()]
+    want = {(d, n, h, len(who), hashlib.sha256(",".join(who).encode()).hexdigest(), h > 0) for d, n, h, who in brute(docs, items)}
+    got = {tuple(r) for r in queries.op6_decontamination(spark, sf_dir).collect()}
+    assert got == want and any(r[-1] for r in got)
+
+
+CASES = [(1, "One, two three FOUR five six seven eight nine ten eleven!"), (2, "x one two y"), (3, None), (4, ""), (None, "short item"), (5, "a short  ITEM here, short item"), (6, "Zwölf Töne — Zwölf Töne"), (6, "Zwölf Töne — Zwölf Töne"), (7, "w " * 20000 + "one two")]
+ITEMS = [("b", "one two three four five six seven eight nine ten eleven"), ("a", "One two"), ("c", "short item"), ("c2", "short. item"), (None, "zwölf töne"), ("e", ""), ("f", None), ("g", "!!")]
+
+
+@pytest.mark.parametrize("set_bytes", [1 << 20, 20])
+def test_edges_and_several_sets(spark, set_bytes):
+    docs = spark.createDataFrame(CASES, "doc_id long, text string").withColumn("Items", F.lit("mine")).withColumn("n", F.lit(1))
+    bench = spark.createDataFrame(ITEMS, "item_id string, text string")
+    out = decontamination.decontaminate(docs, bench, set_bytes=set_bytes).collect()
+    want = brute(CASES, [(i or "", t) for i, t in ITEMS])
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out), key=key) == sorted(want, key=key)
+    clean = {r["doc_id"]: r["clean_text"] for r in out}
+    assert clean[1] == "!" and clean[2] == "x  y" and clean[3] is None and clean[5] == "a  here, " and clean[4] == ""
+
+
+def test_documents_are_removed(spark, no_docs):
+    docs = spark.createDataFrame(CASES, "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "one two")], "item_id string, text string")
+    out = {r["doc_id"]: r for r in decontamination.decontaminate(docs, bench, remove="documents").collect()}
+    assert out[2]["clean_text"] is None and out[4]["clean_text"] == "" and out[2]["contaminated"] and not out[5]["contaminated"]
+    empty = bench.limit(0)
+    assert decontamination.decontaminate(docs, empty).where("contaminated").count() == 0
+    assert decontamination.decontaminate(no_docs, bench).count() == 0
+    with pytest.raises(ValueError):
+        decontamination.decontaminate(docs, bench, remove="words")

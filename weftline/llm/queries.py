@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, mixing, sharding, token_output
+from . import decontamination, language_id, lm_scoring, mixing, quality_rules, secret_scan, sharding, token_output
 from .shared import crc32_of_id, read
 
 
@@ -18,6 +18,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base_spans")
+    counts = [secret_scan.count_kind(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     narrow = read(spark, sf_dir, "documents").select("doc_id", sharding.text_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
@@ -37,6 +44,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = [r for r in quality_rules.RULES if r.name not in ("few_words", "repeated_windows")]
+    order = quality_rules.ordered(quality_rules.measure(docs, tuple(rules)))
+    out = quality_rules.figures(docs).withColumn("base_failed", quality_rules.base_fails(F.col("n_words"), F.col("n_repeat_words")))
+    # The base rules' figures are part of the result, so their verdict stands before the cascade of the others.
+    kept = F.when(F.col("base_failed"), False).otherwise(quality_rules.passes(order, F.col("text")))
+    return out.select("doc_id", *quality_rules.FIGURES, "base_failed", kept.alias("kept"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,5 +65,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op4_sharding, op5_mixing, op6_decontamination, op9_lm_scoring, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op9_lm_scoring, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
