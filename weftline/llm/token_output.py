@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, new_path
-from .vec import SAME, SPACE, slices, spans, worker_cache, words
+from .vec import LOWER, SAME, SPACE, Words, flat, slices, spans, worker_cache, words
 
 BLOCK, PERCENTILE, MAGIC, END_ID = 256, 90, b"WPFR", 1
 #: Pieces whose ids one Python worker keeps; it starts anew beyond that.
 KEPT_PIECES = 400_000
+#: Pieces encoded in one call, with a control character's token between them.
+JOINED, BETWEEN = 200, "\x01"
+CLOSING = np.isin(np.arange(256), np.frombuffer(b".,!?;:%&$*#", np.uint8))
+LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -109,37 +113,71 @@ def read_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return counts, decode_blocks(data, start)[:n] if blocks else np.zeros(0, np.uint32)
 
 
+def pieces_of(texts: pa.Array) -> Words:
+    """Words between ASCII white space, with closing punctuation after an ASCII letter as a piece of its own, and
+    A-Z lower-cased where that surely changes no id: no special token's brackets and no combining mark is near."""
+    raw, _ = flat(texts)
+    marks = bool(((raw == 0xCC) | (raw == 0xCD)).any())
+    brackets = bool(((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)).any())
+    w = words(texts, SPACE, SAME if marks or brackets else LOWER)
+    if not len(w.start):
+        return w
+    tail = np.zeros(len(w.start), np.int64)
+    for _ in range(4):
+        at = w.end - 1 - tail
+        tail += CLOSING[w.low[at]] & (at > w.start)
+    tail[~LETTER[w.low[w.end - 1 - tail]]] = 0
+    parts = 1 + (tail > 0)
+    place = np.cumsum(parts) - parts
+    start, end = np.repeat(w.start, parts), np.repeat(w.end, parts)
+    two = tail > 0
+    end[place[two]] -= tail[two]
+    start[place[two] + 1] = end[place[two]]
+    return Words(w.low, start, end, np.repeat(w.doc, parts), np.bincount(np.repeat(w.doc, parts), minlength=len(texts)))
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece: the tokenizer drops white space and matches nothing across it, so a text's ids are
-    those of its pieces between ASCII white space, and each distinct piece is encoded once for a worker."""
+    """Encodes texts piece by piece: the tokenizer drops white space and matches nothing across it, nor across a letter
+    and the punctuation after it, so a text's ids are those of its pieces, and each distinct piece is encoded once for
+    a worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        found = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = found[0] if len(found) == 1 else None
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.size, self.start, self.ids, self.filled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0
 
-    def learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
+    def add(self, pieces: list[str], size: np.ndarray, new: np.ndarray) -> None:
         while self.filled + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.filled : self.filled + len(new)] = new
         self.start = np.concatenate([self.start, self.filled + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.filled += len(new)
-        for p in pieces:
-            self.number[p] = len(self.number)
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+
+    def learn(self, pieces: list[str]) -> None:
+        alone = [p for p in pieces if self.between is None or BETWEEN in p]
+        if alone:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            self.add(alone, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for ids in found for i in ids), np.uint32))
+        some = [p for p in pieces if not (self.between is None or BETWEEN in p)]
+        if some:
+            joined = [f" {BETWEEN} ".join([*some[k : k + JOINED], ""]) for k in range(0, len(some), JOINED)]
+            x = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(x == self.between)
+            self.add(some, np.diff(ends, prepend=-1) - 1, x[x != self.between])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and the ids."""
-        w = words(texts, SPACE, SAME)
+        w = pieces_of(texts)
         data, offs = w.compact()
         both = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs), pa.py_buffer(data)).dictionary_encode()
         pieces = both.dictionary.to_pylist()
