@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, mixing, quality_rules, secret_scan, sharding, token_output
+from . import decontamination, language_id, lm_scoring, mixing, ngram_jaccard, quality_rules, secret_scan, sharding, substring_dedup, token_output
 from .shared import crc32_of_id, read
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.components(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(4)) == 2
@@ -54,6 +58,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.FIGURES, "base_failed", kept.alias("kept"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_sentences_removed", "n_words_removed", F.col("clean_text").alias("text"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,5 +74,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op9_lm_scoring, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_lm_scoring, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}

@@ -134,10 +134,3 @@ def windows(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     for j in range(k):
         out = out * np.uint64(BASE) + h[j : j + n]
     return mix(out[at]), at
-
-
-def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """A binary array whose i-th item holds the next sizes[i] values."""
-    offs = np.zeros(len(sizes) + 1, np.int64)
-    np.cumsum(sizes * values.dtype.itemsize, out=offs[1:])
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
