@@ -45,7 +45,7 @@ def brute(rows):
 
 def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.components(docs).collect()]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard.components(docs, shingle=4, percent=85).collect()]
     key = lambda x: tuple((v is not None, v or 0) for v in x)
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
     return got
@@ -90,8 +90,8 @@ def test_prefix_bound():
     import numpy as np
 
     n = np.arange(1, 500)
-    assert all(100 * k >= 85 * int(m) > 100 * (k - 1) for k, m in zip(ngram_jaccard.needed(n).tolist(), n))
-    assert ngram_jaccard.shingle_sets(pa.array(["a b", "", "a b c d e", "A b c d"]))[0].tolist() == [1, 0, 2, 1]
+    assert all(100 * k >= 85 * int(m) > 100 * (k - 1) for k, m in zip(ngram_jaccard.needed(n, 85).tolist(), n))
+    assert ngram_jaccard.shingle_sets(pa.array(["a b", "", "a b c d e", "A b c d"]), 4)[0].tolist() == [1, 0, 2, 1]
 
 
 def test_classes(spark):
@@ -99,3 +99,12 @@ def test_classes(spark):
     got = {r["node"]: r["label"] for r in ngram_jaccard.classes(edges).collect()}
     assert got == {**{i: 1 for i in (1, 2, 3)}, **{i: 6 for i in (6, 7, 8, 9)}, **{100 + i: 100 for i in range(21)}}
     assert ngram_jaccard.classes(edges.limit(0)).count() == 0
+
+
+def test_one_of_each_class_stays(spark, edge_docs):
+    kept = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in ngram_jaccard.keep_one(edge_docs, shingle=4, percent=85).collect()))
+    brief = [(d, t[:5]) for some, d, t in kept]
+    assert len(kept) == 8 and brief.count((0, "")) == 1
+    rows = [(2, "a b c d e f"), (2, "a b c d e f"), (3, "A b c d e f"), (4, None), (None, "x y"), (None, "x y"), (5, "")]
+    kept = [r["text"] for r in ngram_jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, kept)) == ["", "None", "a b c d e f", "x y"]

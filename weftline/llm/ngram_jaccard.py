@@ -14,6 +14,7 @@ again: that keeps a group of many near copies from costing its square, and loses
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 from .shared import cut, plain
 from .vec import LOWER, SPACE, mix, slices, windows, words
 
-SHINGLE = 4
-#: Sets link if NUMERATOR * |union| <= 100 * |intersection|.
-NUMERATOR = 85
+#: Words of a shingle, and the least per cent of the union that two linked sets share.
+SHINGLE, PERCENT = 5, 80
 CHUNK = 4 << 20
 #: A shingle's place is known to so many bits within its bucket; buckets hold about BUCKET entries.
 PLACE_BITS, BUCKET = 26, 2_000_000
@@ -33,17 +33,17 @@ PLACE_BITS, BUCKET = 26, 2_000_000
 LEADERS, ROUNDS = 64, 2
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct shingles of each text, and their hashes, sorted within each text. A text with fewer than
-    SHINGLE words has one, of all of them; one without words has none."""
+    ``shingle`` words has one, of all of them; one without words has none."""
     counts, sets = np.zeros(len(texts), np.int64), []
     for lo, hi in slices(texts):
         w = words(texts[lo:hi], SPACE, LOWER)
         h = w.hashes()
         found = []
-        for k in range(1, SHINGLE + 1):
+        for k in range(1, shingle + 1):
             key, at = windows(h, w.doc, k)
-            keep = (k == SHINGLE) | (w.n[w.doc[at]] == k)
+            keep = (k == shingle) | (w.n[w.doc[at]] == k)
             found.append((key[keep], w.doc[at][keep]))
         key, doc = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((key, doc))
@@ -55,19 +55,19 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
 
-def needed(n: np.ndarray) -> np.ndarray:
+def needed(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The least overlap of a set of n with any other that it links to."""
-    return (NUMERATOR * n + 99) // 100
+    return (percent * n + 99) // 100
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets reach the threshold."""
     if len(a) > len(b):
         a, b = b, a
-    if 100 * len(a) < NUMERATOR * len(b):
+    if 100 * len(a) < percent * len(b):
         return False
     both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
-    return both > 0 and 100 * both >= NUMERATOR * (len(a) + len(b) - both)
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 # ---- prefixes --------------------------------------------------------------------------------------------------
@@ -88,7 +88,7 @@ def distinct_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class Chunk:
     """The distinct texts of a chunk, their sets, and the order in which the chunk's shingles go to the buckets."""
 
-    def __init__(self, table: pa.Table, bits: int):
+    def __init__(self, table: pa.Table, bits: int, shingle: int):
         h1, h2 = table.column("h1").to_numpy(), table.column("h2").to_numpy()
         order = np.lexsort((h2, h1))
         new = np.ones(len(order), bool)
@@ -98,7 +98,7 @@ class Chunk:
         texts = table.column("text").take(pa.array(self.rows)).combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-        self.n, self.tokens = shingle_sets(texts)
+        self.n, self.tokens = shingle_sets(texts, shingle)
         self.place = self.tokens >> np.uint64(64 - bits - PLACE_BITS)
         self.bits = bits
 
@@ -116,12 +116,12 @@ class Chunk:
         return [x.tobytes() for x in both]
 
 
-def frequencies(chunks: DataFrame, bits: int) -> DataFrame:
+def frequencies(chunks: DataFrame, bits: int, shingle: int) -> DataFrame:
     """(chunk, bucket, at, df): which of a chunk's shingles, in order of place, occur in two texts or more, and in how
     many, as 8 * log2. Places of a chunk go to the buckets as differences, about two bytes each."""
 
     def send(table: pa.Table) -> pa.Table:
-        chunk = Chunk(table, bits)
+        chunk = Chunk(table, bits, shingle)
         places = np.sort(chunk.place)
         at = chunk.bounds(places)
         some = np.flatnonzero(np.diff(at))
@@ -150,7 +150,7 @@ def frequencies(chunks: DataFrame, bits: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, at binary, df binary")
 
 
-def prefixes(chunks: DataFrame, bits: int) -> DataFrame:
+def prefixes(chunks: DataFrame, bits: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of each distinct text: h1, h2, n, key (its set's), and if its prefix has shingles that occur elsewhere: those
     (``tokens``, rare first), their places in its whole order (``pos``), its prefix' hash (``sig``) and its set."""
 
@@ -159,14 +159,14 @@ def prefixes(chunks: DataFrame, bits: int) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
         if not texts.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        chunk = Chunk(texts, bits)
+        chunk = Chunk(texts, bits, shingle)
         order = np.argsort(chunk.place, kind="stable")
         at = chunk.bounds(chunk.place[order])
         df = np.zeros(len(order), np.uint8)
         for bucket, where, d in zip(*(back.column(c).to_pylist() for c in ("bucket", "at", "df"))):
             df[order[at[bucket] + np.frombuffer(where, "<u4").astype(np.int64)]] = np.frombuffer(d, np.uint8)
         ends = np.cumsum(chunk.n)
-        length = chunk.n - needed(chunk.n) + 1
+        length = chunk.n - needed(chunk.n, percent) + 1
         alone = np.concatenate([[0], np.cumsum(df == 0)])
         n_alone = alone[ends] - alone[ends - chunk.n]
         tokens, pos, sig, sets = ([None] * len(ends) for _ in range(4))
@@ -181,7 +181,7 @@ def prefixes(chunks: DataFrame, bits: int) -> DataFrame:
         columns = [chunk.h1, chunk.h2, chunk.n, chunk.keys(), tokens, pos, sig, sets]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    back = frequencies(chunks, bits)
+    back = frequencies(chunks, bits, shingle)
     both = chunks.groupBy("chunk").cogroup(back.groupBy("chunk"))
     return both.applyInArrow(prefix, "h1 long, h2 long, n long, key binary, tokens array<long>, pos array<int>, sig long, set binary")
 
@@ -189,8 +189,8 @@ def prefixes(chunks: DataFrame, bits: int) -> DataFrame:
 # ---- links -----------------------------------------------------------------------------------------------------
 
 
-def link_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, set), equal keys side by side: each set is compared with up to LEADERS earlier ones of its key
+def link_neighbours(batches: Iterator[pa.RecordBatch], percent: int = PERCENT, most: int = LEADERS) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, set), equal keys side by side: each set is compared with up to ``most`` earlier ones of its key
     that stand for different classes so far. Every link given is a verified one."""
     key, leaders, root = None, [], {}
 
@@ -208,13 +208,13 @@ def link_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             own = np.frombuffer(raw.as_buffer(), np.uint64)
             alone = True
             for other, theirs in leaders:
-                if find(other) != find(node) and linked(own, theirs):
+                if find(other) != find(node) and linked(own, theirs, percent):
                     root[find(node)] = find(other)
                     a.append(node)
                     z.append(other)
                     alone = False
-            if alone or len(leaders) < LEADERS // 4:
-                leaders = [*leaders[1 - LEADERS :], (node, own.copy())]
+            if alone or len(leaders) < most // 4:
+                leaders = [*leaders[1 - most :], (node, own.copy())]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
 
@@ -238,7 +238,7 @@ def classes(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def group_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+def group_pairs(sets: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of nodes of different classes that pass the filters on groups: (a, b)."""
     placed = sets.join(labels, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"), F.explode(F.arrays_zip("tokens", "pos")).alias("x"))
     placed = placed.select("node", "n", "sig", "label", F.col("x.tokens").alias("token"), F.col("x.pos").alias("pos"))
@@ -253,7 +253,7 @@ def group_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     x, y = marked.where("label <> main").alias("x"), marked.alias("y")
     reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     near = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.g") < F.col("y.g")))
-    near &= (100 * F.least("x.n", "y.n") >= NUMERATOR * F.greatest("x.n", "y.n")) & ((100 + NUMERATOR) * reach >= NUMERATOR * (F.col("x.n") + F.col("y.n")))
+    near &= (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n")))
     pairs = cut(x.join(y, near).select(F.col("x.g").alias("x"), F.col("y.g").alias("y")).distinct(), "group-pairs")
     members = entries.join(groups.select("token", "sig", "n", "label", "g"), ["token", "sig", "n", "label"]).select("g", "node").distinct()
     members = cut(members, "members")
@@ -261,12 +261,12 @@ def group_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(members.select(F.col("g").alias("y"), F.col("node").alias("b")), "y").select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     each = sets.select("node", "set")
@@ -274,7 +274,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def link_classes(sets: DataFrame) -> DataFrame:
+def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of every node that links to another."""
     found = None
     for r in range(ROUNDS):
@@ -282,14 +282,14 @@ def link_classes(sets: DataFrame) -> DataFrame:
         key = F.element_at("tokens", -1 if r % 2 == 0 else 1)
         rows = sets.select(key.alias("key"), "node", "set", F.xxhash64("node", F.lit(r)).alias("mixed"))
         rows = rows.repartitionByRange("key", "mixed").sortWithinPartitions("key", "mixed").select("key", "node", "set")
-        links = cut(rows.mapInArrow(link_neighbours, "a long, b long"), "links")
+        links = cut(rows.mapInArrow(partial(link_neighbours, percent=percent, most=LEADERS), "a long, b long"), "links")
         found = links if found is None else found.unionByName(links)
     labels = cut(classes(found), "classes")
-    rest = cut(verified(group_pairs(sets, labels), sets), "links")
+    rest = cut(verified(group_pairs(sets, labels, percent), sets, percent), "links")
     return cut(classes(found.unionByName(rest)), "classes") if rest.limit(1).count() else labels
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with ``n_shingles`` (set size) and ``component_id`` (the smallest id that links reach, its own included).
 
     Texts are compared whole, A-Z lower-cased. Links are exact but for 64-bit hashes of shingles and 128-bit hashes of
@@ -298,25 +298,54 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     results. An empty table gives an empty table. Input columns named as an output column are replaced.
     """
     docs = plain(docs, "n_shingles", "component_id")
-    text = F.col(text_col)
-    keyed = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
-    narrow = cut(keyed.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), F.octet_length(text).alias("bytes")), "ids")
+    _, table = solve(docs, F.col(id_col).cast("long"), F.col(text_col), shingle, percent)
+    return placed(docs, table, F.col(id_col).cast("long"), F.col(text_col))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each class of ``components``: one with the smallest id, and of rows that share it any one.
+    Rows without a set stay. A null id counts as the hash of its text."""
+    own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    marked = plain(docs, "__own").withColumn("__own", own)
+    narrow, table = solve(marked, F.col("__own"), F.col(text_col), shingle, percent)
+    out = placed(marked, table, F.col("__own"), F.col(text_col))
+    first = (F.col("n_shingles") == 0) | (F.col("__own") == F.col("component_id"))
+    out = out.where(first)
+    shared = cut(narrow.groupBy("id").count().where("count > 1").select(F.col("id").alias("__own")), "shared-ids")
+    if shared.limit(1).count():
+        once = out.where("n_shingles > 0").join(shared, "__own", "left_semi").dropDuplicates(["__own"])
+        rest = out.where("n_shingles > 0").join(shared, "__own", "left_anti")
+        out = out.where("n_shingles = 0").unionByName(once).unionByName(rest)
+    return out.select(*docs.columns)
+
+
+def solve(docs: DataFrame, own_id, text, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, h1, h2, bytes) of each row with a text, and (__r1, __r2, __n, __c) of each distinct text: its hashes, its
+    set's size and its class' smallest id. Both written."""
+    some = docs.where(text.isNotNull())
+    hashes = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+    narrow = cut(some.select(own_id.alias("id"), *hashes, F.octet_length(text).alias("bytes")), "ids")
     total = narrow.agg(F.sum("bytes")).first()[0] or 0
     n_chunks = 1 + int(total) // CHUNK
     bits = max(6, int(np.ceil(np.log2(1 + total / 5 / BUCKET))))  # about one shingle for five bytes
-    texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    texts = some.select(*hashes, text.alias("text"))
     chunks = texts.mapInArrow(distinct_here, texts.schema).withColumn("chunk", F.pmod("h1", F.lit(n_chunks)))
-    found = cut(prefixes(chunks, bits), "prefixes")
+    found = cut(prefixes(chunks, bits, shingle, percent), "prefixes")
     candidates = found.where("tokens is not null").select("key", "n", "tokens", "pos", "sig", "set").dropDuplicates(["key"])
     sets = cut(candidates.withColumn("node", F.monotonically_increasing_id()), "sets")
-    labels = link_classes(sets.select("node", "n", "tokens", "pos", "sig", "set"))
+    labels = link_classes(sets.select("node", "n", "tokens", "pos", "sig", "set"), percent)
     named = found.select("h1", "h2", "n", "key").join(sets.select("key", "node"), "key", "left").join(labels, "node", "left")
     group = F.when(F.col("label").isNotNull(), F.col("label").cast("string")).otherwise(F.hex("key"))
     named = cut(named.select("h1", "h2", "n", group.alias("g")), "named")
     firsts = cut(narrow.groupBy("h1", "h2").agg(F.min("id").alias("id")), "firsts")
     by_text = cut(named.join(firsts, ["h1", "h2"]), "by-text")
     least = cut(by_text.groupBy("g").agg(F.min("id").alias("component_id")), "least")
-    table = cut(by_text.join(least, "g").select(F.col("h1").alias("__r1"), F.col("h2").alias("__r2"), F.col("n").alias("__n"), F.col("component_id").alias("__c")), "components")
+    table = by_text.join(least, "g").select(F.col("h1").alias("__r1"), F.col("h2").alias("__r2"), F.col("n").alias("__n"), F.col("component_id").alias("__c"))
+    return narrow, cut(table, "components")
+
+
+def placed(docs: DataFrame, table: DataFrame, own_id, text) -> DataFrame:
+    keyed = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
     out = keyed.join(table, (F.col("__h1") == F.col("__r1")) & (F.col("__h2") == F.col("__r2")) & text.isNotNull(), "left")
     n = F.coalesce("__n", F.lit(0)).cast("long")
-    return out.select(*docs.columns, n.alias("n_shingles"), F.when(n > 0, F.col("__c")).otherwise(F.col(id_col)).cast("long").alias("component_id"))
+    return out.select(*docs.columns, n.alias("n_shingles"), F.when(n > 0, F.col("__c")).otherwise(own_id).cast("long").alias("component_id"))

@@ -12,7 +12,7 @@ from .shared import crc32_of_id, read
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.components(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard.components(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import cut, plain
-from .vec import LOWER, SPACE, Words, flat, mix, powers, slices, spans, windows, words
+from .vec import LOWER, SPACE, Words, flat, mix, powers, slices, spans, words
 
-#: Sentences in a run, and words that a run has at least.
+#: Sentences in a run. One with fewer words than LEAST_WORDS takes in further sentences until it has as many.
 RUN, LEAST_WORDS = 3, 12
+#: A stop within so many words after another ends no sentence, so lists and shouted words make no one-word sentences.
+CLOSE = 3
 #: A sentence with more words is cut after word pairs that a hash picks, one in SPLIT; so text without stops, and a
 #: passage glued to other text at its ends, has sentences too, and the same ones wherever it stands.
 LONG, SPLIT = 16, 8
@@ -37,7 +39,10 @@ def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     stop = STOPS[last] | (CLOSERS[last] & STOPS[w.low[np.maximum(w.end - 2, w.start)]])
     stop[:-1] |= lines[w.start[1:]] > lines[w.end[:-1]]
     edge = np.append(w.doc[1:] != w.doc[:-1], True)
-    stop |= edge
+    crowded = np.zeros(n, bool)
+    for k in range(1, CLOSE + 1):
+        crowded[k:] |= stop[:-k] & (w.doc[k:] == w.doc[:-k])
+    stop = (stop & ~crowded) | edge
     number = np.cumsum(stop) - stop
     long = np.bincount(number)[number] > LONG
     h = w.hashes()
@@ -51,28 +56,36 @@ def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     return w, first, past, mix((sums[past] - sums[first]) * down[first] + (past - first).astype(np.uint64))
 
 
-def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of RUN sentences, or of all of a text with fewer, with LEAST_WORDS words: its hash, its text's number,
-    its first sentence's number within the text, and whether the text has had the same run before."""
+def runs(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of each run: its hash, its text's number, its first sentence's number within the text, its number of sentences,
+    and whether the text has had the same run before. A text too short for a run is one run if it has LEAST_WORDS."""
     w, first, past, h = sentences(texts)
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none, none.astype(bool)
     doc = w.doc[first]
     count = np.bincount(doc, minlength=len(texts))
-    begin = np.cumsum(count) - count
-    found = []
-    for k in range(1, RUN + 1):
-        key, at = windows(h, doc, k)
-        keep = (past[at + k - 1] - first[at] >= LEAST_WORDS) & ((k == RUN) | (count[doc[at]] == k))
-        found.append((key[keep], at[keep]))
-    key, at = (np.concatenate(x) for x in zip(*found))
-    d = doc[at]
-    order = np.lexsort((at, key, d))
+    end = np.cumsum(count)  # past the last sentence of each text
+    begin = end - count
+    at = np.arange(len(first))
+    to = np.maximum(at + RUN, np.searchsorted(past, first + LEAST_WORDS) + 1)
+    whole = (at == begin[doc]) & (to > end[doc]) & (past[end[doc] - 1] - first >= LEAST_WORDS)
+    tail = (to > end[doc]) & (end[doc] - at >= RUN)  # the last sentences of a text, with fewer words
+    to = np.where(whole | tail, end[doc], to)
+    at = at[to <= end[doc]]
+    to, doc = to[at], doc[at]
+    up, down = powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    key = mix((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64))
+    order = np.lexsort((at, key, doc))
     again = np.zeros(len(at), bool)
-    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (d[order[1:]] == d[order[:-1]])
-    return key, d, at - begin[d], again
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    return key, doc, at - begin[doc], to - at, again
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, firsts): for each text with something to remove, the first sentences of its non-first runs.
+    """(id, text_hash, __runs): for each text with something to remove, its non-first runs, as first sentence * 65536 + sentences.
 
     First is the smallest id, and within a text the first place; a null id comes last. Only keys go through the shuffles.
     Counting combines on the map side, so a passage in a third of all texts sends one row a task; the join back is a
@@ -84,15 +97,15 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             text = b.column(2)
             for lo, hi in slices(text):
-                key, doc, at, again = runs(text[lo:hi])
+                key, doc, at, size, again = runs(text[lo:hi])
                 rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)[lo:hi].take(rows), b.column(1)[lo:hi].take(rows), pa.array(at.astype(np.int32)), pa.array(again)], names=["key", "id", "text_hash", "at", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)[lo:hi].take(rows), b.column(1)[lo:hi].take(rows), pa.array((at << 16) + np.minimum(size, 0xFFFF)), pa.array(again)], names=["key", "id", "text_hash", "run", "again"])
 
-    found = cut(ids.mapInArrow(run, "key long, id long, text_hash long, at int, again boolean"), "runs", "zstd")
+    found = cut(ids.mapInArrow(run, "key long, id long, text_hash long, run long, again boolean"), "runs", "zstd")
     shared = cut(found.groupBy("key").agg(F.min("id").alias("__first"), F.max("id").alias("__last")).where("__first < __last").drop("__last"), "runs-shared")
-    later = found.join(shared, "key").where("id > __first").select("id", "text_hash", "at")
-    both = later.unionByName(found.where("again").select("id", "text_hash", "at"))
-    return cut(both.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("__firsts")), "runs-removed")
+    later = found.join(shared, "key").where("id > __first").select("id", "text_hash", "run")
+    both = later.unionByName(found.where("again").select("id", "text_hash", "run"))
+    return cut(both.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("run")).alias("__runs")), "runs-removed")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,27 +122,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     left = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(text_col)})
     keys = gone.withColumnsRenamed({"id": "__gone_id", "text_hash": "__gone_hash"})
     joined = left.join(keys, (F.col("__id") == F.col("__gone_id")) & (F.col("__hash") == F.col("__gone_hash")), "left")
-    joined = joined.select(*docs.columns, "__firsts")
+    joined = joined.select(*docs.columns, "__runs")
     schema = T.StructType([*docs.schema.fields, T.StructField("clean_text", T.StringType()), T.StructField("n_sentences_removed", T.LongType(), False), T.StructField("n_words_removed", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(b.schema.get_field_index(text_col))
             clean, n, m = text.to_pylist(), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-            for i, firsts in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                if firsts:
-                    clean[i], n[i], m[i] = without(text[i : i + 1], firsts)
+            for i, gone in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if gone:
+                    clean[i], n[i], m[i] = without(text[i : i + 1], np.array(gone, np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(clean, pa.string()), pa.array(n), pa.array(m)], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
-def without(text: pa.Array, firsts: list[int]) -> tuple[str, int, int]:
-    """One text without the sentences of the runs that begin at ``firsts``; sentences and words removed."""
+def without(text: pa.Array, gone: np.ndarray) -> tuple[str, int, int]:
+    """One text without the sentences of the runs ``gone``; sentences and words removed."""
     w, first, past, _ = sentences(text)
     drop = np.zeros(len(first), bool)
-    at = spans(np.array(firsts, np.int64), np.full(len(firsts), RUN))
-    drop[at[at < len(first)]] = True
+    drop[spans(gone >> 16, gone & 0xFFFF)] = True
     raw, _ = flat(text)
     begin = w.start[first]
     end = np.append(begin[1:], len(raw))
