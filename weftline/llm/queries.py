@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, mixing, ngram_jaccard, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from . import decontamination, language_id, lm_scoring, mixing, ngram_jaccard, oracles, quality_rules, secret_scan, sharding, substring_dedup, token_output
 from .shared import crc32_of_id, read
 
 
@@ -75,4 +75,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_lm_scoring, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": oracles.OP1, "op5_mixing": oracles.OP5, "op6_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7}
