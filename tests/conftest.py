@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
-SF = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01"))
+SF = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 
 @pytest.fixture(scope="session")

@@ -1,5 +1,279 @@
-"""The engine's own queries by name, with SQL for the same rows."""
+"""The engine's own queries by name, over the driver's tables, with DuckDB SQL for the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as X
+from ..operators import answer, chunking, dense, extract, fusion, graph, lexical
+from .oracle_sql import ORACLE_SQL  # noqa: F401
+
+QUESTION = "which of the then are not onouin that the ntti thereea and enanst"
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.documents(read(spark, sf_dir, "documents"), ord_col="doc_id")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(corpus(spark, sf_dir))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def one_question(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, QUESTION)], "qid long, question string")
+
+
+def normalize_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("norm"))
+
+
+def document_ids(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", "doc_ord", F.length("text").alias("n"))
+
+
+def chunk_windows(spark, sf_dir):
+    return chunks(spark, sf_dir).select("doc_id", "idx", F.size(F.split("text", " ")).alias("n_words"), "text")
+
+
+def chunk_ids(spark, sf_dir):
+    return chunks(spark, sf_dir).select("chunk_id", "doc_id", "idx")
+
+
+def tokenize_docs(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+def tokenize_turns(spark, sf_dir):
+    tokens = X.tokenize(F.col("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tokens).alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"))
+
+
+def content_tokens(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.content_tokens(F.col("text")), " ").alias("tokens"))
+
+
+def sentences(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("at", "sentence"))
+
+
+def ngram_counts(spark, sf_dir):
+    grams = X.ngrams(X.content_tokens(F.col("text")))
+    return read(spark, sf_dir, "documents").select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def term_freq(spark, sf_dir):
+    return lexical.index(chunks(spark, sf_dir))[0]
+
+
+def doc_freq_idf(spark, sf_dir):
+    return lexical.document_frequencies(*lexical.index(chunks(spark, sf_dir))).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+def length_stats(spark, sf_dir):
+    return lexical.average_length(lexical.index(chunks(spark, sf_dir))[1]).select("n", F.round("avg_len", 9).alias("avg_len"))
+
+
+def bm25(spark, sf_dir, asked: DataFrame) -> DataFrame:
+    return lexical.search(*lexical.index(chunks(spark, sf_dir)), asked, 5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def bm25_topk(spark, sf_dir):
+    return bm25(spark, sf_dir, one_question(spark))
+
+
+def bm25_batch(spark, sf_dir):
+    return bm25(spark, sf_dir, questions(spark, sf_dir))
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), "embedding")
+
+
+def cosine_batch(spark, sf_dir):
+    asked = read(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("qid"), "embedding")
+    return dense.search(vectors(spark, sf_dir), asked, 5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def cosine_topk(spark, sf_dir):
+    return cosine_batch(spark, sf_dir).where("qid = 3")
+
+
+def hashing_embed(spark, sf_dir):
+    found = chunks(spark, sf_dir).select("chunk_id", dense.embed(F.col("text")).alias("v"))
+    return found.select("chunk_id", F.size("v").alias("dim"), F.round(X.norm(F.col("v")), 4).alias("norm"))
+
+
+def key_phrases(spark, sf_dir):
+    return extract.key_phrases(chunks(spark, sf_dir))
+
+
+def entities(spark, sf_dir):
+    return extract.facts(chunks(spark, sf_dir))[0].select("chunk_id", "ent_ord", "entity_key", "name", "type", "mentions")
+
+
+def relations(spark, sf_dir):
+    return extract.facts(chunks(spark, sf_dir))[1].select("chunk_id", "rel_ord", "source", "target", "type", "weight")
+
+
+def phrase_facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Facts that SQL can state too: a chunk's twelve most frequent key phrases, and links from each to the next."""
+    place = chunks(spark, sf_dir).select("chunk_id", "doc_ord", "idx")
+    best = Window.partitionBy("chunk_id").orderBy(F.desc("n"), "phrase")
+    ranked = extract.key_phrases(chunks(spark, sf_dir)).withColumn("ent_ord", F.row_number().over(best) - 1).where("ent_ord < 12").join(place, "chunk_id")
+    kind = F.when(F.length("phrase") > 9, "proper_noun").otherwise(F.concat(F.lit("concept"), (F.col("ent_ord") % 2).cast("string")))
+    mentions = ranked.select("chunk_id", "doc_ord", "idx", "ent_ord", F.col("phrase").alias("entity_key"), F.concat(F.col("phrase"), F.lit(":"), F.col("idx").cast("string")).alias("name"), kind.alias("type"), F.col("n").cast("int").alias("mentions"))
+    following = F.lead("entity_key").over(Window.partitionBy("chunk_id").orderBy("ent_ord"))
+    links = mentions.withColumn("target", following).where("target is not null")
+    return mentions, links.select("chunk_id", "doc_ord", "idx", F.col("ent_ord").alias("rel_ord"), F.col("entity_key").alias("source"), "target", F.when(F.col("ent_ord") % 3 == 0, "uses").otherwise("co_occurs").alias("type"), F.col("name").alias("context"), (1.0 + F.col("ent_ord") % 2).alias("weight"))
+
+
+def node_merge(spark, sf_dir):
+    return graph.nodes(phrase_facts(spark, sf_dir)[0]).select("entity_key", "name", "type", "mentions", F.array_join("chunks", ",").alias("chunks"))
+
+
+def edge_merge(spark, sf_dir):
+    mentions, links = phrase_facts(spark, sf_dir)
+    return graph.edges(links, graph.nodes(mentions)).select("source", "target", "weight", F.array_join("types", ",").alias("types"), "context")
+
+
+def trade(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The graph of parts and their suppliers: an edge for each pair in lineitem, weighted by its lines."""
+    links = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
+    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("entity_key"))
+    return parts.unionByName(read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_key"))), links
+
+
+def degree_top(spark, sf_dir):
+    return graph.top_degrees(trade(spark, sf_dir)[1])
+
+
+def graph_stats(spark, sf_dir):
+    nodes, links = trade(spark, sf_dir)
+    parts = graph.components(nodes, links).select("component").distinct()
+    return nodes.agg(F.count("*").alias("entities")).crossJoin(links.agg(F.count("*").alias("relationships"))).crossJoin(parts.agg(F.count("*").alias("components")))  # three single rows
+
+
+def customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Customers and the orders they share a priority and day with: chains of rows, many components."""
+    orders = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("source"), F.concat(F.lit("c"), "o_custkey").alias("target"))
+    nodes = orders.select(F.col("source").alias("entity_key")).unionByName(read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("entity_key")))
+    return nodes, orders.withColumn("weight", F.lit(1.0))
+
+
+def components(spark, sf_dir):
+    return graph.components(*customers(spark, sf_dir))
+
+
+def khop(spark, sf_dir):
+    nodes, links = trade(spark, sf_dir)
+    seeds = spark.createDataFrame([(0, "p1"), (1, "s3"), (1, "p7"), (2, "nobody")], "qid long, key string")
+    return graph.reachable(nodes, links, seeds, 2)
+
+
+def ppr_fixed20(spark, sf_dir):
+    return graph.fixed_sweeps(trade(spark, sf_dir)[1], "p1", 20).select("key", F.round("score", 9).alias("score"))
+
+
+def coverage_seeds(spark, sf_dir):
+    nodes = graph.nodes(phrase_facts(spark, sf_dir)[0])
+    return graph.covered(nodes, questions(spark, sf_dir))
+
+
+def chunk_graph_score(spark, sf_dir):
+    """A14 over the part-supplier graph: suppliers are chunks that hold their parts; 20 sweeps from p1."""
+    ranks = graph.fixed_sweeps(trade(spark, sf_dir)[1], "p1", 20)
+    where = trade(spark, sf_dir)[1].select(F.col("source").alias("key"), F.col("target").alias("chunk_id"))
+    return ranks.join(where, "key").groupBy("chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
+
+
+def rankings(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("qid"), F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "n_chars", "doc_id")
+    by = lambda name, *order: docs.select("qid", F.lit(name).alias("signal"), "chunk_id", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).alias("rank"))
+    both = by("vector", F.desc("n_chars"), "chunk_id").unionByName(by("keyword", F.col("doc_id") % 13, "chunk_id")).unionByName(by("graph", "doc_id"))
+    return both.where("rank <= 40")
+
+
+def rrf_fuse(spark, sf_dir):
+    found = fusion.fuse(rankings(spark, sf_dir), {"vector": 1.0, "keyword": 0.7, "graph": 0.0})
+    return found.select("qid", "chunk_id", F.round("score", 9).alias("score"), F.array_join(F.map_keys("signals"), ",").alias("signals"))
+
+
+def bm25_hits(spark, sf_dir, k: int = 5) -> DataFrame:
+    pieces = chunks(spark, sf_dir)
+    return lexical.search(*lexical.index(pieces), questions(spark, sf_dir), k).join(pieces.select("chunk_id", "text", "source"), "chunk_id")
+
+
+def context_budget(spark, sf_dir):
+    return fusion.contexts(bm25_hits(spark, sf_dir), 2000)
+
+
+def extractive_answer(spark, sf_dir):
+    return answer.extractive(questions(spark, sf_dir), bm25_hits(spark, sf_dir))
+
+
+def incremental_dedup(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    known = chunking.documents(read(spark, sf_dir, "documents").where("doc_id % 3 = 0"), ord_col="doc_id")
+    return chunking.not_yet(docs, known, "doc_id").select("doc_id", "doc_ord")
+
+
+def upsert_last_wins(spark, sf_dir):
+    table = read(spark, sf_dir, "documents").groupBy("source").agg(F.max("n_chars").alias("value"))
+    new = read(spark, sf_dir, "documents").where("doc_id % 2 = 0 and source < 'src5'").select("source", F.col("n_chars").alias("value"), F.col("doc_id").alias("ord"))
+    return chunking.upsert(table, new, "source", "ord")
+
+
+def edge_integrity(spark, sf_dir):
+    nodes, links = trade(spark, sf_dir)
+    dangling = links.unionByName(links.select(F.col("target").alias("source"), F.concat(F.lit("x"), "source").alias("target"), "weight")).unionByName(links.select("source", F.col("source").alias("target"), "weight"))
+    return graph.admissible(dangling, nodes)
+
+
+def communities(spark, sf_dir):
+    nodes = read(spark, sf_dir, "nation").select(F.col("n_name").alias("entity_key")).unionByName(read(spark, sf_dir, "region").select(F.concat(F.lit("region "), "r_name").alias("entity_key")))
+    links = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source"), F.concat(F.lit("region "), "r_name").alias("target"), F.lit(1.0).alias("weight"))
+    return graph.communities(nodes, links).select("community", "size", F.array_join("members", ",").alias("members"))
+
+
+def html_corpus(spark, sf_dir):
+    text = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</(script|style)>", " "), "<[^>]*>", " ")
+    return read(spark, sf_dir, "pages").select("page_id", X.normalize(text).alias("text"))
+
+
+def hybrid(spark, sf_dir, asked: DataFrame, k: int = 5) -> DataFrame:
+    from .engine import Engine
+
+    engine = Engine(spark)
+    engine.index(read(spark, sf_dir, "documents"), ord_col="doc_id")
+    return engine.retrieve(asked, k)
+
+
+def hybrid_retrieve(spark, sf_dir):
+    return hybrid(spark, sf_dir, questions(spark, sf_dir)).select("qid", "rank", "chunk_id", "score", F.array_join(F.map_keys("signals"), ",").alias("signals"))
+
+
+def FLAGSHIP(spark, sf_dir):  # noqa: N802
+    return hybrid_retrieve(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        normalize_text, document_ids, chunk_windows, chunk_ids, tokenize_docs, tokenize_turns, content_tokens, sentences, ngram_counts, term_freq,
+        doc_freq_idf, length_stats, bm25_topk, bm25_batch, cosine_topk, cosine_batch, hashing_embed, key_phrases, entities, relations, node_merge,
+        edge_merge, degree_top, graph_stats, components, khop, ppr_fixed20, coverage_seeds, chunk_graph_score, rrf_fuse, context_budget,
+        extractive_answer, incremental_dedup, upsert_last_wins, edge_integrity, communities, html_corpus, hybrid_retrieve,
+    )
+}
