@@ -48,10 +48,18 @@ def n_dup_lines(found: Column) -> Column:
     return (F.size(found) - F.size(F.array_distinct(found))).cast("long")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def window_hashes(words: Column) -> Column:
     """A 64-bit hash of each run of WINDOW words, of the words' own hashes."""
-    each = F.transform(words, lambda w: F.xxhash64(w))
-    count = F.size(words) - F.lit(WINDOW)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), _window_hashes)
+
+
+def _window_hashes(each: Column) -> Column:
+    count = F.size(each) - F.lit(WINDOW)
     runs = F.transform(F.arrays_zip(*[F.slice(each, k + 1, F.greatest(count + 1, F.lit(0))).alias(f"h{k}") for k in range(WINDOW)]), lambda x: F.xxhash64(*[x[f"h{k}"] for k in range(WINDOW)]))
     return F.when(count >= 0, runs).otherwise(F.array().cast("array<bigint>"))
 
@@ -62,15 +70,21 @@ def n_repeat_words(hashes: Column) -> Column:
     Only a text with an equal pair sorts (hash, place); places with an equal neighbour, in order, each cover WINDOW
     words or as many as there are up to the next such place.
     """
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(_placed(h), _covered))).cast("long")
+
+
+def _placed(hashes: Column) -> Column:
+    return F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def _covered(placed: Column) -> Column:
     before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), placed)
     after = F.concat(F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
     near = F.arrays_zip(placed.alias("x"), before.alias("b"), after.alias("a"))
     twice = F.filter(near, lambda t: t["x"]["h"].isNotNull() & (t["x"]["h"].eqNullSafe(t["b"]["h"]) | t["x"]["h"].eqNullSafe(t["a"]["h"])))
     places = F.array_sort(F.transform(twice, lambda t: t["x"]["i"]))
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("sum"))
-    covered = F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("sum")), lambda acc: acc["sum"])
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered).cast("long")
+    return F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("sum")), lambda acc: acc["sum"])
 
 
 def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -97,12 +111,12 @@ def base_fails(n_words: Column, n_repeat: Column) -> Column:
 #: Base rules first, in the order in which they stand if nothing is known about them.
 RULES = (
     Rule("few_words", lambda t: F.size(word_list(t)) < 10),
-    Rule("repeated_windows", lambda t: 100 * n_repeat_words(window_hashes(word_list(t))) > 20 * F.size(word_list(t))),
+    Rule("repeated_windows", lambda t: let(word_list(t), lambda w: 100 * n_repeat_words(window_hashes(w)) > 20 * F.size(w))),
     Rule("symbols", lambda t: 100 * n_symbols(t) > 6 * word_chars(t)),
     Rule("shouting", lambda t: 100 * (F.length(none(t)) - F.length(without(none(t), UPPER))) > 40 * word_chars(t)),
     Rule("exclamations", lambda t: 100 * (F.length(none(t)) - F.length(without(none(t), "!"))) > 6 * word_chars(t)),
-    Rule("repeated_lines", lambda t: 100 * n_dup_lines(lines(t)) > 40 * F.size(lines(t))),
-    Rule("word_length", lambda t: (word_chars(t) < 2 * F.size(word_list(t))) | (word_chars(t) > 30 * F.size(word_list(t)))),
+    Rule("repeated_lines", lambda t: let(lines(t), lambda x: 100 * n_dup_lines(x) > 40 * F.size(x))),
+    Rule("word_length", lambda t: let(F.size(word_list(t)), lambda n: (word_chars(t) < 2 * n) | (word_chars(t) > 30 * n))),
 )
 
 
