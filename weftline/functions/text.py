@@ -10,6 +10,11 @@ from . import lexicon
 MIN_LENGTH = 3
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a function over elements an expression would be computed for each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Runs of white space become one space; none at the ends. Null stays null."""
     return F.trim(F.regexp_replace(text, f"{lexicon.SPACE}+", " "))
@@ -57,11 +62,11 @@ def sentences(text: Column) -> Column:
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """All runs of ``low`` to ``high`` tokens, joined by spaces, shorter ones first."""
 
-    def of(k: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-        return F.when(F.size(tokens) >= k, runs).otherwise(F.array().cast("array<string>"))
+    def of(t: Column, k: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))
+        return F.when(F.size(t) >= k, runs).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(of(k) for k in range(low, high + 1)))
+    return let(tokens, lambda t: F.concat(*(of(t, k) for k in range(low, high + 1))))
 
 
 def relation_type(tokens: Column) -> Column:

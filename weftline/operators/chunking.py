@@ -36,6 +36,10 @@ def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def windows(words: Column, size: int, overlap: int) -> Column:
     """Arrays of words of each window; the last one reaches the end, and no words give no window."""
     step = size - overlap
+    return X.let(words, lambda w: _windows(w, size, step))
+
+
+def _windows(words: Column, size: int, step: int) -> Column:
     n = F.size(words)
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
     starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
