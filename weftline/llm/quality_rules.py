@@ -14,8 +14,7 @@ from .shared import plain
 
 WINDOW, SAMPLE_ROWS = 5, 2000
 WHITE = "\t\n\x0b\x0c\r "
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS, UPPER, EXCLAMATION = "[#*$%&|<>]", "[A-Z]", "!"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -23,25 +22,22 @@ def none(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.translate(none(text), WHITE, " " * len(WHITE)), " "), lambda w: w != "")
+    return F.array_remove(F.split(none(text), "[ \\t-\\r]+"), "")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(without(none(text), WHITE)).cast("long")
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
 
 
-def n_symbols(text: Column) -> Column:
-    return (F.length(none(text)) - F.length(without(none(text), SYMBOLS))).cast("long")
+def count_of(text: Column, pattern: str) -> Column:
+    """Characters that match; dear only where there are many."""
+    return F.regexp_count(none(text), F.lit(pattern)).cast("long")
 
 
 def lines(text: Column) -> Column:
     """Lines with a word."""
-    return F.filter(F.split(none(text), "\n"), lambda x: without(x, WHITE) != "")
+    return F.filter(F.split(none(text), "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
 
 
 def n_dup_lines(found: Column) -> Column:
@@ -89,19 +85,39 @@ def _covered(placed: Column) -> Column:
 
 def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; a null text counts as empty."""
-    text = F.col(text_col)
+    text, words = F.col(text_col), F.col("__words")
     docs = plain(docs, *FIGURES).withColumns({"__words": word_list(text), "__lines": lines(text)})
-    docs = docs.withColumn("__hashes", window_hashes(F.col("__words")))
-    out = {"n_words": F.size("__words").cast("long"), "word_chars": word_chars(text), "n_symbols": n_symbols(text), "n_dup_lines": n_dup_lines(F.col("__lines")), "n_repeat_words": n_repeat_words(F.col("__hashes"))}
+    docs = docs.withColumn("__hashes", window_hashes(words))
+    out = {"n_words": F.size(words).cast("long"), "word_chars": word_chars(words), "n_symbols": count_of(text, SYMBOLS), "n_dup_lines": n_dup_lines(F.col("__lines")), "n_repeat_words": n_repeat_words(F.col("__hashes"))}
     return docs.withColumns(out).drop("__words", "__lines", "__hashes")
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What rules judge by: columns of the text and its words, computed where a rule asks, or figures that are there."""
+
+    text: Column
+    words: Column
+    known: dict[str, Column]
+
+    def __getitem__(self, name: str) -> Column:
+        own = {
+            "n_words": lambda: F.size(self.words),
+            "word_chars": lambda: word_chars(self.words),
+            "n_symbols": lambda: count_of(self.text, SYMBOLS),
+            "n_upper": lambda: count_of(self.text, UPPER),
+            "n_exclamations": lambda: count_of(self.text, EXCLAMATION),
+            "n_repeat_words": lambda: n_repeat_words(window_hashes(self.words)),
+        }
+        return self.known[name] if name in self.known else own[name]()
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: from the text column, a boolean column without nulls."""
+    """``rejects``: from the facts of a text, a boolean column without nulls."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Facts], Column]
 
 
 def base_fails(n_words: Column, n_repeat: Column) -> Column:
@@ -110,13 +126,13 @@ def base_fails(n_words: Column, n_repeat: Column) -> Column:
 
 #: Base rules first, in the order in which they stand if nothing is known about them.
 RULES = (
-    Rule("few_words", lambda t: F.size(word_list(t)) < 10),
-    Rule("repeated_windows", lambda t: let(word_list(t), lambda w: 100 * n_repeat_words(window_hashes(w)) > 20 * F.size(w))),
-    Rule("symbols", lambda t: 100 * n_symbols(t) > 6 * word_chars(t)),
-    Rule("shouting", lambda t: 100 * (F.length(none(t)) - F.length(without(none(t), UPPER))) > 40 * word_chars(t)),
-    Rule("exclamations", lambda t: 100 * (F.length(none(t)) - F.length(without(none(t), "!"))) > 6 * word_chars(t)),
-    Rule("repeated_lines", lambda t: let(lines(t), lambda x: 100 * n_dup_lines(x) > 40 * F.size(x))),
-    Rule("word_length", lambda t: let(F.size(word_list(t)), lambda n: (word_chars(t) < 2 * n) | (word_chars(t) > 30 * n))),
+    Rule("few_words", lambda f: f["n_words"] < 10),
+    Rule("repeated_windows", lambda f: 100 * f["n_repeat_words"] > 20 * f["n_words"]),
+    Rule("symbols", lambda f: 100 * f["n_symbols"] > 6 * f["word_chars"]),
+    Rule("shouting", lambda f: 100 * f["n_upper"] > 40 * f["word_chars"]),
+    Rule("exclamations", lambda f: 100 * f["n_exclamations"] > 6 * f["word_chars"]),
+    Rule("repeated_lines", lambda f: let(lines(f.text), lambda x: 100 * n_dup_lines(x) > 40 * F.size(x))),
+    Rule("word_length", lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 30 * f["n_words"])),
 )
 
 
@@ -129,10 +145,11 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_
     sample = docs.select(text_col).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(part * 1_000_000)).persist()
     try:
         rows = max(1, sample.count())
-        empty = _seconds(sample, F.lit(False))[0]
+        facts = Facts(text, word_list(text), {})
+        empty = _seconds(sample, facts["n_words"] < 0)[0]  # the words, which all rules share
         out = []
         for rule in rules:
-            took, rejected = min(_seconds(sample, rule.rejects(text)) for _ in range(2))
+            took, rejected = min(_seconds(sample, rule.rejects(facts)) for _ in range(2))
             out.append((rule, max(took - empty, 1e-4) / rows, rejected / rows))
         return out
     finally:
@@ -150,13 +167,13 @@ def ordered(measured: list[tuple[Rule, float, float]]) -> list[Rule]:
     return [rule for rule, _, _ in sorted(measured, key=lambda x: -x[2] / x[1])]
 
 
-def passes(rules: list[Rule], text: Column) -> Column:
+def passes(rules: list[Rule], facts: Facts) -> Column:
     """True where no rule rejects. The first that does ends the row's evaluation, so dear rules see few rows."""
     if not rules:
         return F.lit(True)
-    chain = F.when(rules[0].rejects(text), False)
+    chain = F.when(rules[0].rejects(facts), False)
     for rule in rules[1:]:
-        chain = chain.when(rule.rejects(text), False)
+        chain = chain.when(rule.rejects(facts), False)
     return chain.otherwise(True)
 
 
@@ -169,4 +186,5 @@ def with_verdict(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     """
     docs = plain(docs, "kept")
     order = ordered(measure(docs, rules, sample_rows, text_col))
-    return docs.withColumn("kept", passes(order, F.col(text_col)))
+    worded = docs.withColumn("__words", word_list(F.col(text_col)))
+    return worded.withColumn("kept", passes(order, Facts(F.col(text_col), F.col("__words"), {}))).drop("__words")
