@@ -43,7 +43,7 @@ def test_query_against_brute_force(spark, sf_dir):
     got = queries.op8_substring_dedup(spark, sf_dir).collect()
     low = lambda t: b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(bytes(substring_dedup.LOWER))))
     assert {r["doc_id"]: (r["n_sentences_removed"], r["n_words_removed"], low(r["text"])) for r in got} == want
-    assert sum(n > 0 for n, _, _ in want.values()) > 50
+    assert sum(n > 0 for n, _, _ in want.values()) > 0.02 * len(rows)
 
 
 def test_passages_are_found_wherever_they_stand(spark):
