@@ -8,7 +8,7 @@ again: that keeps a group of many near copies from costing its square, and loses
 
     texts -> chunks (exact copies collapse) -> document frequencies -> prefixes
           -> linking of neighbours by shared prefix shingle, in rounds -> classes
-          -> group pairs across classes, filtered, expanded, verified  -> classes
+          -> group pairs across classes, first with hubs, then all: filtered, expanded, verified -> classes
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ CHUNK = 4 << 20
 PLACE_BITS, BUCKET = 26, 2_000_000
 #: Unlinked sets of one key that a new one is compared with while it is linked to its neighbours.
 LEADERS, ROUNDS = 64, 2
+#: Links whose classes one task finds, 16 bytes each; more are contracted in distributed steps, with the same result.
+IN_TASK_LINKS = 400_000
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +220,33 @@ def link_neighbours(batches: Iterator[pa.RecordBatch], percent: int = PERCENT, m
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
 
-def classes(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that links reach, by alternating large and small stars; one written table a step.
-    Only three sums of each step reach the driver."""
+def classes(links: DataFrame, in_task: int = IN_TASK_LINKS) -> DataFrame:
+    """(node, label) of links(a, b): the smallest node that links reach. The links are counted first."""
+    return classes_in_task(links) if links.count() <= in_task else classes_in_steps(links)
+
+
+def classes_in_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, label long")
+
+
+def classes_in_steps(links: DataFrame) -> DataFrame:
+    """By alternating large and small stars; one written table a step. Only two sums of each step reach the driver."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     state = None
     while True:
@@ -238,25 +264,48 @@ def classes(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def group_pairs(sets: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of nodes of different classes that pass the filters on groups: (a, b)."""
-    placed = sets.join(labels, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"), F.explode(F.arrays_zip("tokens", "pos")).alias("x"))
-    placed = placed.select("node", "n", "sig", "label", F.col("x.tokens").alias("token"), F.col("x.pos").alias("pos"))
-    several = cut(placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"), "tokens")
-    entries = cut(placed.join(several, "token"), "entries")
-    # A group: identical prefix and size, within a class. All its members stand under the same shingles at the same places.
+def grouped(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of the shingles that occur in several classes, as (token, sig, n, label, pos, g), and their members as (g,
+    node). A group is an identical prefix and size, within a class: all its members stand under the same shingles, at
+    the same places."""
+    entries = sets.join(labels, "node", "left").select("node", "n", "sig", F.coalesce("label", "node").alias("label"), F.explode(F.arrays_zip("tokens", "pos")).alias("x"))
+    entries = entries.select("node", "n", "sig", "label", F.col("x.tokens").alias("token"), F.col("x.pos").alias("pos"))
+    several = cut(entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"), "tokens")
+    entries = cut(entries.join(several, "token"), "entries")
     groups = cut(entries.groupBy("token", "sig", "n", "label").agg(F.min("pos").alias("pos"), F.min("node").alias("g")), "groups")
+    members = entries.join(groups.select("token", "sig", "n", "label", "g"), ["token", "sig", "n", "label"]).select("g", "node").distinct()
+    return groups, cut(members, "members")
+
+
+def near(percent: int):
+    """Groups x and y of one shingle and different classes that the size and position filters let through: what stands
+    from the shingle on in both orders bounds the overlap."""
+    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    return (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & sizes & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n")))
+
+
+def hub_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Each group with the group of another class that has its shingle foremost: the one with fewest rare shingles, as the
+    text that copies were made of. A pair an entry at most; the links found merge most classes before all pairs are taken."""
+    foremost = F.min_by(F.struct("n", "label", "pos", "g"), F.struct("pos", "g"))
+    hubs = cut(groups.groupBy("token").agg(foremost.alias("h")).select("token", "h.*"), "hubs")
+    return groups.alias("x").join(hubs.alias("y"), near(percent)).select(F.col("x.g").alias("x"), F.col("y.g").alias("y"))
+
+
+def cross_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All pairs of groups of different classes. One side of each lies outside the class with most groups of the shingle."""
     counts = groups.groupBy("token", "label").agg(F.count("*").alias("c"))
     main = cut(counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "main-class")
-    # One side of each pair lies outside the class that has most groups of the shingle.
     marked = cut(groups.join(main, "token"), "groups-marked")
     x, y = marked.where("label <> main").alias("x"), marked.alias("y")
-    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.g") < F.col("y.g")))
-    near &= (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n")))
-    pairs = cut(x.join(y, near).select(F.col("x.g").alias("x"), F.col("y.g").alias("y")).distinct(), "group-pairs")
-    members = entries.join(groups.select("token", "sig", "n", "label", "g"), ["token", "sig", "n", "label"]).select("g", "node").distinct()
-    members = cut(members, "members")
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.g") < F.col("y.g"))
+    return x.join(y, near(percent) & once).select(F.col("x.g").alias("x"), F.col("y.g").alias("y"))
+
+
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of groups as pairs of their members: (a, b)."""
+    pairs = cut(pairs.distinct(), "group-pairs")
     left = pairs.join(members.select(F.col("g").alias("x"), F.col("node").alias("a")), "x")
     return left.join(members.select(F.col("g").alias("y"), F.col("node").alias("b")), "y").select("a", "b").distinct()
 
@@ -285,8 +334,13 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = cut(rows.mapInArrow(partial(link_neighbours, percent=percent, most=LEADERS), "a long, b long"), "links")
         found = links if found is None else found.unionByName(links)
     labels = cut(classes(found), "classes")
-    rest = cut(verified(group_pairs(sets, labels, percent), sets, percent), "links")
-    return cut(classes(found.unionByName(rest)), "classes") if rest.limit(1).count() else labels
+    for pairs in (hub_pairs, cross_pairs):
+        groups, members = grouped(sets, labels)
+        more = cut(verified(expanded(pairs(groups, percent), members), sets, percent), "links")
+        if more.limit(1).count():
+            found = found.unionByName(more)
+            labels = cut(classes(found), "classes")
+    return labels
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
