@@ -59,12 +59,13 @@ def scan(texts: pa.Array, sets: WindowSet) -> tuple[np.ndarray, list[list[tuple[
     return w.n, hits
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", set_bytes: int = SET_BYTES) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", set_bytes: int = SET_BYTES, then=None) -> DataFrame:
     """``docs`` with ``n_words`` and ``__hits``: array of (first word, word past the last, items).
 
     The benchmark's size is summed before anything is broadcast. Up to ``set_bytes`` of text make one set; a larger
     benchmark is dealt by item into several sets, which are broadcast and scanned for one after the other with all
-    hits kept, so results do not depend on the number of sets.
+    hits kept, so results do not depend on the number of sets. ``then``: from the result's schema, a schema and a function
+    over its batches, which runs in the same Python pass as the last set.
     """
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_sets = 1 + int(size) // set_bytes
@@ -88,7 +89,11 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
                     found = pa.array([[{"first": s, "past": e, "items": i} for s, e, i in x] for x in hits], kind)
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n, pa.int64()), found], names=[*rows.schema.names, "n_words", HITS])
 
-        out = out.mapInArrow(run, T.StructType(fields))
+        if then is not None and k == n_sets - 1:
+            schema, last = then(T.StructType(fields))
+            out = out.mapInArrow(lambda batches, run=run: last(run(batches)), schema)
+        else:
+            out = out.mapInArrow(run, T.StructType(fields))
     return out
 
 
@@ -106,10 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     if remove not in ("spans", "documents"):
         raise ValueError("remove must be 'spans' or 'documents'")
     docs = plain(docs, "n_hit", "items", "contaminated", "clean_text")
-    found = with_hits(docs, benchmark, window, text_col, set_bytes)
-    names = [*[c for c in found.columns if c not in ("n_words", HITS)], "n_words", "n_hit", "items", "contaminated", "clean_text"]
-    types = {f.name: f for f in found.schema.fields}
-    schema = T.StructType([*(types[c] for c in names[:-4]), T.StructField("n_hit", T.LongType(), False), T.StructField("items", T.ArrayType(T.StringType()), False), T.StructField("contaminated", T.BooleanType(), False), T.StructField("clean_text", T.StringType())])
+    names = [*plain(docs, "n_words", HITS).columns, "n_words", "n_hit", "items", "contaminated", "clean_text"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +129,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
             keep = [b.column(b.schema.get_field_index(c)) for c in names[:-4]]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(clean, pa.string())], names=names)
 
-    return found.mapInArrow(finish, schema)
+    def then(found: T.StructType):
+        new = [T.StructField("n_hit", T.LongType(), False), T.StructField("items", T.ArrayType(T.StringType()), False), T.StructField("contaminated", T.BooleanType(), False), T.StructField("clean_text", T.StringType())]
+        return T.StructType([*(found[c] for c in names[:-4]), *new]), finish
+
+    return with_hits(docs, benchmark, window, text_col, set_bytes, then)
 
 
 def without(text: str, runs: list[list[int]]) -> str:

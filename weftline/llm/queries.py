@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, lm_scoring, mixing, ngram_jaccard, oracles, quality_rules, secret_scan, sharding, substring_dedup, token_output
-from .shared import crc32_of_id, read
+from .shared import crc32_of_id, read as read_table, small_batches
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
+    return read_table(spark, sf_dir, table)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
