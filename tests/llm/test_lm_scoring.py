@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -91,3 +92,39 @@ def test_lanes_do_not_change_scores(monkeypatch):
     whole = t.score(s, past)
     monkeypatch.setattr(lm_scoring, "LANE", 37)
     assert t.score(s, past) == pytest.approx(whole, abs=1e-3)
+
+
+def whole_tree(streams):
+    """The tree of all contexts that pass the divergence test, in one process."""
+    grams = Counter(s[i - lm_scoring.DEPTH : i + 1] for s in streams for i in range(lm_scoring.DEPTH, len(s)))
+    levels = [Counter() for _ in range(lm_scoring.DEPTH + 1)]
+    for g, n in grams.items():
+        for d, level in enumerate(levels):
+            level[g[lm_scoring.DEPTH - d :]] += n
+    nexts = {}
+    for level in levels:
+        for g, n in level.items():
+            nexts.setdefault(g[:-1], {})[g[-1]] = n
+    total = {c: sum(x.values()) for c, x in nexts.items()}
+    least = lm_scoring.PENALTY * math.log(total[b""])
+    gain = lambda c: sum(n * math.log(n / total[c] / (nexts[c[1:]][b] / total[c[1:]])) for b, n in nexts[c].items())
+    passing = [c for c in nexts if c and gain(c) > least * len(nexts[c])]
+    states = {c[i:j] for c in passing for i in range(len(c)) for j in range(i + 1, len(c) + 1)} | {b""}
+    tree = lm_scoring.build_tree([(c, list(nexts.get(c, {})), list(nexts.get(c, {}).values())) for c in states], sorted(nexts[b""]))
+    return tree, len(passing)
+
+
+def test_every_context_that_passes_is_a_state(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8000)]
+    said = vocabulary * 12
+    rng.shuffle(said)
+    texts = [" ".join(said[i : i + 400]) for i in range(0, len(said), 400)]
+    pad = b"\n" * lm_scoring.DEPTH
+    t, n = whole_tree([pad + x.encode() + b"\n" for x in texts])
+    assert n > 20_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, F.lit(False)).collect()}
+    for i in range(0, len(texts), 10):
+        s = np.frombuffer(pad + texts[i].encode() + b"\n", np.uint8)
+        assert got[i] == pytest.approx(t.score(s, np.array([len(s)]))[0], rel=1e-5)

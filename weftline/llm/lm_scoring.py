@@ -3,6 +3,8 @@
 The stream of a text is its words, lower-cased (A-Z), with one space between, and an end symbol. A state of the tree
 is a context of up to ``DEPTH`` preceding symbols, kept where a divergence test tells its next-symbol distribution
 from that of the context one symbol shorter. A text is scored from the longest suffix of its history that is a state.
+Every context that passes is kept, however many there are. States of three symbols and more stay a table: they meet the
+distinct contexts of each chunk in buckets of the last three symbols, and log probabilities go back to the chunks.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import crc32_of_id, cut
 from .vec import SPACE, LOWER, slices, spans, words
@@ -21,8 +24,8 @@ from .vec import SPACE, LOWER, slices, spans, words
 DEPTH, END, GAP = 5, 0x0A, 0x20
 #: A context is kept if n * divergence exceeds this times (its distinct next symbols) * ln(all symbols).
 PENALTY = 0.5
-#: Capacity of the model: states, by falling n * divergence. It bounds what is collected and broadcast.
-MAX_STATES = 16_384
+#: States of fewer symbols go to every task: their number is bounded by the alphabet, not by the corpus.
+NEAR = 3
 #: Weight of the shorter context's distribution in a state's own, in symbols.
 PRIOR = 4.0
 CHUNK = 4 << 20
@@ -169,7 +172,9 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class SuffixTree:
-    """contexts: symbols of each state, state 0 being the root. step, logp: by state and symbol class."""
+    """A whole tree in one process, for small models and as what the tables below are tested against.
+
+    contexts: symbols of each state, state 0 being the root. step, logp: by state and symbol class."""
 
     contexts: list[bytes]
     classes: np.ndarray
@@ -230,74 +235,182 @@ def build_tree(rows: list[tuple[bytes, bytes, list[int], list[int]]], symbols: l
     return SuffixTree(contexts, classes, step, np.log10(p).astype(np.float32))
 
 
-def fit_tree(grams: DataFrame, max_states: int = MAX_STATES) -> SuffixTree:
-    """Retain contexts by their divergence from the context one symbol shorter; collect the states kept, no more."""
+def low(symbols: int) -> int:
+    return (1 << (8 * symbols)) - 1
+
+
+def kept_states(grams: DataFrame, max_states: int | None = None) -> tuple[DataFrame, int]:
+    """(d, ctx, sym, logp, rest) of each symbol seen after each state of d symbols: its log10 probability, and what is
+    added to the log10 probability by the context one symbol shorter for a symbol not seen; and all symbols.
+
+    States are the contexts told from the context one symbol shorter by their divergence, and all parts of such."""
     levels = [grams.select(F.col("key"), F.col("n"))]
     for d in range(DEPTH - 1, -1, -1):
-        mask = (1 << (8 * (d + 1))) - 1
-        levels.insert(0, cut(levels[0].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")), f"lm-level{d}"))
+        levels.insert(0, cut(levels[0].groupBy(F.col("key").bitwiseAND(F.lit(low(d + 1))).alias("key")).agg(F.sum("n").alias("n")), f"lm-level{d}"))
     named = [x.select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(F.lit(255)).alias("sym"), "n") for x in levels]
     totals = [x.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("k")) for x in named]
-    root = named[0].select("sym", "n").collect()  # 256 rows at most
-    all_symbols = sum(r["n"] for r in root)
-    if not all_symbols:
-        return build_tree([(b"", [], [])], [])
+    all_symbols = int(named[0].agg(F.sum("n")).first()[0] or 0)
     tests = None
     for d in range(1, DEPTH + 1):
-        mask = (1 << (8 * (d - 1))) - 1
-        own = named[d].join(totals[d], "ctx").withColumn("up", F.col("ctx").bitwiseAND(F.lit(mask)))
+        own = named[d].join(totals[d], "ctx").withColumn("up", F.col("ctx").bitwiseAND(F.lit(low(d - 1))))
         above = named[d - 1].join(totals[d - 1], "ctx").select(F.col("ctx").alias("up"), "sym", (F.col("n") / F.col("t")).alias("q"))
         gain = own.join(above, ["up", "sym"]).groupBy("ctx", "t", "k").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("t") / F.col("q"))).alias("gain"))
-        kept = gain.where(F.col("gain") > PENALTY * F.col("k") * float(np.log(all_symbols))).select(F.lit(d).alias("d"), "ctx", "gain")
+        kept = gain.where(F.col("gain") > PENALTY * F.col("k") * float(np.log(max(all_symbols, 1)))).select(F.lit(d).alias("d"), "ctx", "gain")
         tests = kept if tests is None else tests.unionByName(kept)
-    best = tests.orderBy(F.desc("gain"), "d", "ctx").limit(max_states).select("d", "ctx").collect()
-    contexts = {b""}
-    for d, ctx in best:
-        c = int(ctx).to_bytes(d, "big")
-        contexts |= {c[i:j] for i in range(d) for j in range(i + 1, d + 1)}
-    spark = grams.sparkSession
-    rows = [(b"", [r["sym"] for r in root], [r["n"] for r in root])]
+    if max_states is not None:
+        tests = tests.orderBy(F.desc("gain"), "d", "ctx").limit(max_states)
+    # A context's part of ``size`` symbols that ends ``after`` symbols before its end.
+    parts = [(size, F.shiftright("ctx", 8 * after).bitwiseAND(F.lit(low(size))), F.col("d") >= size + after) for size in range(1, DEPTH + 1) for after in range(DEPTH + 1 - size)]
+    each = F.explode(F.array(*(F.when(has, F.struct(F.lit(size).alias("d"), ctx.alias("ctx"))) for size, ctx, has in parts)))
+    states = cut(tests.select(each.alias("s")).where("s is not null").select("s.*").distinct(), "lm-states")
+    # The root gives each byte value an extra count of one.
+    out = [cut(named[0].select(F.lit(0).alias("d"), "ctx", "sym", F.log10((F.col("n") + 1) / F.lit(all_symbols + 256.0)).alias("logp"), F.lit(0.0).alias("rest")), "lm-model0")]
     for d in range(1, DEPTH + 1):
-        keys = [(int.from_bytes(c, "big"),) for c in contexts if len(c) == d]
-        if keys:
-            found = named[d].join(F.broadcast(spark.createDataFrame(keys, "ctx long")), "ctx").groupBy("ctx").agg(F.collect_list(F.struct("sym", "n")).alias("x"))
-            rows += [(int(r["ctx"]).to_bytes(d, "big"), [x["sym"] for x in r["x"]], [x["n"] for x in r["x"]]) for r in found.collect()]
-    have = {r[0] for r in rows}
-    rows += [(c, [], []) for c in contexts - have]  # a prefix of a context that only ever ends texts
-    return build_tree(rows, sorted(r["sym"] for r in root))
+        own = named[d].join(states.where(F.col("d") == d).select("ctx"), "ctx").withColumn("t", F.sum("n").over(Window.partitionBy("ctx")))
+        above = out[-1].select(F.col("ctx").alias("up"), "sym", F.pow(F.lit(10.0), "logp").alias("q"))
+        both = own.withColumn("up", F.col("ctx").bitwiseAND(F.lit(low(d - 1)))).join(above, ["up", "sym"])
+        logp, rest = F.log10((F.col("n") + PRIOR * F.col("q")) / (F.col("t") + PRIOR)), F.log10(PRIOR / (F.col("t") + PRIOR))
+        out.append(cut(both.select(F.lit(d).alias("d"), "ctx", "sym", logp.alias("logp"), rest.alias("rest")), f"lm-model{d}"))
+    model = out[0]
+    for x in out[1:]:
+        model = model.unionByName(x)
+    return model, all_symbols
+
+
+Levels = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def by_level(model: pa.Table) -> Levels:
+    """Of each depth: (context, symbol) keys in order and their log10 probabilities; contexts in order and their rest."""
+    d, ctx, sym, logp, rest = (model.column(c).to_numpy() for c in ("d", "ctx", "sym", "logp", "rest"))
+    out = {}
+    for depth in np.unique(d).tolist():
+        own = np.flatnonzero(d == depth)
+        key = (ctx[own].astype(np.uint64) << np.uint64(8)) | sym[own].astype(np.uint64)
+        own, key = own[np.argsort(key)], np.sort(key)
+        contexts, first = np.unique(key >> np.uint64(8), return_index=True)
+        out[depth] = key, logp[own], contexts, rest[own][first]
+    return out
+
+
+def place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(sorted_keys, keys), max(len(sorted_keys) - 1, 0))
+    return at, sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), bool)
+
+
+def log_probabilities(keys: np.ndarray, levels: Levels, all_symbols: int) -> np.ndarray:
+    """log10 probability of the symbol of each (DEPTH symbols, symbol), from its longest suffix that is a state."""
+    out, left = np.zeros(len(keys)), np.arange(len(keys))
+    for d in range(DEPTH, -1, -1):
+        if d in levels:
+            seen, logp, contexts, rest = levels[d]
+            own = keys[left] & np.uint64(low(d + 1))
+            at, hit = place(seen, own)
+            out[left[hit]] += logp[at[hit]]
+            left, own = left[~hit], own[~hit]
+            at, state = place(contexts, own >> np.uint64(8))
+            if d:
+                out[left[state]] += rest[at[state]]
+    out[left] -= np.log10(all_symbols + 256.0)
+    return out
+
+
+def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Of (context, symbol) keys, by a hash of the last NEAR symbols of the context."""
+    last = (keys >> np.uint64(8)) & np.uint64(low(NEAR))
+    return ((last * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+
+
+def scores_back(chunks: DataFrame, model: DataFrame, all_symbols: int) -> tuple[DataFrame, int]:
+    """For each chunk and bucket, log10 probabilities of the chunk's distinct keys, by bucket and then by key. A chunk has
+    one distinct key in 20 symbols or so; buckets hold about 500,000 keys. And the bits of a bucket's number."""
+    bits = min(20, max(6, int(np.ceil(np.log2(all_symbols / 20 / 500_000 + 1)))))
+    near = by_level(model.where(F.col("d") < NEAR).toArrow())
+    shared = chunks.sparkSession.sparkContext.broadcast(near)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, n, ids, d, sizes in one_by_one(b):
+                key = distinct_keys(*stream(np.frombuffer(n, "<i4"), np.frombuffer(ids, "<i4"), d, sizes))
+                bucket = bucket_of(key, bits)
+                order = np.argsort(bucket, kind="stable")
+                key, at = key[order], np.searchsorted(bucket[order], np.arange((1 << bits) + 1).astype(np.uint64))
+                some = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([chunk] * len(some), pa.int64()), pa.array([key[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["bucket", "chunk", "keys"])
+
+    def meet(asked: pa.Table, states: pa.Table) -> pa.Table:
+        levels = shared.value | by_level(states)
+        found = [log_probabilities(np.frombuffer(x.as_py(), np.uint64), levels, all_symbols).astype("<f4").tobytes() for x in asked.column("keys")]
+        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(found, pa.binary())], names=["chunk", "bucket", "logp"])
+
+    sent = chunks.select("chunk", "n", "ids", "dict", "sizes").mapInArrow(split, "bucket long, chunk long, keys binary")
+    hashed = F.shiftright((F.col("ctx").bitwiseAND(F.lit(low(NEAR))) * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits)
+    far = model.where(F.col("d") >= NEAR).withColumn("bucket", hashed)
+    return cut(sent.groupBy("bucket").cogroup(far.groupBy("bucket")).applyInArrow(meet, "chunk long, bucket long, logp binary"), "lm-logp", "zstd"), bits
+
+
+def distinct_keys(s: np.ndarray, past: np.ndarray) -> np.ndarray:
+    return np.unique(gram_keys(s, past, np.ones(len(past), bool)))
+
+
+def text_scores(s: np.ndarray, past: np.ndarray, by_bucket: np.ndarray, bits: int) -> np.ndarray:
+    """log10 probability of each text of a chunk, from what ``scores_back`` gives for it. A slice of symbols at a time."""
+    if not len(past):
+        return np.zeros(0)
+    keys = distinct_keys(s, past)
+    logp = np.empty(len(keys))
+    logp[np.argsort(bucket_of(keys, bits), kind="stable")] = by_bucket
+    begin = np.concatenate([[0], past[:-1]]) + DEPTH
+    out = np.zeros(len(past))
+    ends = np.cumsum(past - begin)
+    lo = 0
+    while lo < len(past):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), "right")))
+        some = slice(lo, hi)
+        use = np.zeros(len(past), bool)
+        use[some] = True
+        each = logp[np.searchsorted(keys, gram_keys(s, past, use))]
+        sums = np.concatenate([[0.0], np.cumsum(each)])
+        size = np.cumsum((past - begin)[some])
+        out[some] = np.diff(sums[np.concatenate([[0], size])])
+        lo = hi
+    return out
 
 
 # ---- scores ----------------------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES) -> DataFrame:
+def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", max_states: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens (words and the end), n_known (tokens seen in training),
     train_tokens, base_score (add-one unigrams, log10) and score (the suffix tree's log10 probability of the text).
 
     ``held_out``: a boolean column; such rows are not learnt from. Default: crc32 of the id as text, modulo 7, is 2.
     Null texts count as empty: one token, the end. Repeated rows count and are scored each for itself. Without any
-    training row every distribution is uniform and base_score is log10(1/1) for each token.
+    training row every distribution is uniform and base_score is log10(1/1) for each token. ``max_states``: only so many
+    contexts, by falling n * divergence; none is left out by default.
     """
     held_out = held_out if held_out is not None else F.pmod(crc32_of_id(F.col(id_col)), F.lit(7)) == 2
     chunks = chunked(docs, held_out, id_col, text_col)
     back, n_train, distinct = counts_back(chunks)
     ends = int(chunks.agg(F.sum("n_train_docs")).first()[0] or 0)
-    tree = docs.sparkSession.sparkContext.broadcast(fit_tree(train_grams(chunks), max_states))
+    logps, bits = scores_back(chunks, *kept_states(train_grams(chunks), max_states))
     floor = np.log10(n_train + distinct + (1 if ends else 0) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_ids, held, n, ids, d, sizes, parts in one_by_one(b):
                 held, n, ids = np.frombuffer(held, bool), np.frombuffer(n, "<i4").astype(np.int64), np.frombuffer(ids, "<i4")
-                parts = b"".join(x["counts"] for x in sorted(parts or [], key=lambda x: x["bucket"]))
-                c = np.frombuffer(parts, "<i8")
+                parts = sorted(parts or [], key=lambda x: x["bucket"])
+                c = np.frombuffer(b"".join(x["counts"] for x in parts if x["counts"] is not None), "<i8")
+                logp = np.frombuffer(b"".join(x["logp"] for x in parts if x["logp"] is not None), "<f4")
                 doc = np.repeat(np.arange(len(n)), n)
                 base = np.bincount(doc, (np.log10(c + 1.0) - floor)[ids], len(n)) + np.log10(ends + 1.0) - floor
                 known = np.bincount(doc, (c > 0)[ids], len(n)).astype(np.int64) + (1 if ends else 0)
-                total = tree.value.score(*stream(n, ids, d, sizes))
+                total = text_scores(*stream(n, ids, d, sizes), logp, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(held), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    lists = back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("parts"))
+    both = back.unionByName(logps, allowMissingColumns=True)
+    lists = both.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "logp")).alias("parts"))
     joined = chunks.join(lists, "chunk", "left").select("doc_ids", "held", "n", "ids", "dict", "sizes", "parts")
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
