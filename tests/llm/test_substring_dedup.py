@@ -64,6 +64,18 @@ def test_passages_are_found_wherever_they_stand(spark):
             assert len(set(out[3 * p + k]["clean_text"].split()) & set(passages[p])) < 55
 
 
+def test_every_passage_of_51_words_without_stops_is_found(spark):
+    rows, n = [], 600
+    for seed in range(n):
+        rng = random.Random(seed)
+        bare = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+        passage = bare(51)
+        rows += [(2 * seed + k, f"{bare(30)} {passage} {bare(30)}") for k in range(2)]
+    out = {r["doc_id"]: r["n_words_removed"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[2 * i] == 0 for i in range(n))
+    assert all(substring_dedup.LEAST_WORDS <= out[2 * i + 1] <= 51 for i in range(n))
+
+
 def test_edges(spark, edge_docs, no_docs):
     out = substring_dedup.dedup(edge_docs.withColumns({"Clean_text": F.lit(1), "id": F.lit(2), "text_hash": F.lit(3), "key": F.lit(4), "at": F.lit(5)})).collect()
     assert len(out) == edge_docs.count()

@@ -18,8 +18,9 @@ from .vec import LOWER, SPACE, Words, flat, mix, powers, slices, spans, words
 RUN, LEAST_WORDS = 3, 12
 #: A stop within so many words after another ends no sentence, so lists and shouted words make no one-word sentences.
 CLOSE = 3
-#: A sentence with more words is cut after word pairs that a hash picks, one in SPLIT; so text without stops, and a
-#: passage glued to other text at its ends, has sentences too, and the same ones wherever it stands.
+#: A sentence with more words is cut after word pairs of the smallest hash among any SPLIT in a row; so text without
+#: stops, and a passage glued to other text at its ends, has sentences too. The cuts are the same wherever it stands but
+#: for the first and last SPLIT words, and no more than SPLIT words apart: 6 * SPLIT words without stops hold a run.
 LONG, SPLIT = 16, 8
 STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 CLOSERS = np.isin(np.arange(256), np.frombuffer(b"\"')]", np.uint8))
@@ -47,7 +48,7 @@ def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     long = np.bincount(number)[number] > LONG
     h = w.hashes()
     pair = np.append(mix(h[:-1] * np.uint64(3) + h[1:]), np.uint64(1))
-    stop |= long & (pair % np.uint64(SPLIT) == 0)
+    stop |= long & smallest(pair, w.doc)
     past = np.flatnonzero(stop) + 1
     first = np.append(0, past[:-1])
     up, down = powers(n + 1)
@@ -56,6 +57,16 @@ def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     return w, first, past, mix((sums[past] - sums[first]) * down[first] + (past - first).astype(np.uint64))
 
 
+def smallest(pair: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a pair of words is the smallest, the last of equal ones, among some SPLIT pairs in a row of its text."""
+    out = np.zeros(len(pair), bool)
+    if len(pair) > SPLIT:
+        rows = np.lib.stride_tricks.sliding_window_view(pair[:-1], SPLIT)
+        at = np.arange(len(rows)) + SPLIT - 1 - np.argmin(rows[:, ::-1], axis=1)
+        out[at[doc[:-SPLIT] == doc[SPLIT:]]] = True
+    return out
+
+
 def runs(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Of each run: its hash, its text's number, its first sentence's number within the text, its number of sentences,
     and whether the text has had the same run before. A text too short for a run is one run if it has LEAST_WORDS."""
