@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """A folder in ``spark.checkpoint.dir``, which driver and executors share. Only where the session names none (tests on
+    one machine) a temporary folder is made and set."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
@@ -19,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weftline"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write and read back: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
