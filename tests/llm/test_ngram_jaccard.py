@@ -55,7 +55,7 @@ def check(spark, rows):
 def test_query_against_brute_force(spark, sf_dir, small_leaders, monkeypatch):
     if small_leaders:  # then neighbours are hardly linked, and the pairs across classes have to find the links
         monkeypatch.setattr(ngram_jaccard, "LEADERS", 2)
-        monkeypatch.setattr(ngram_jaccard, "ROUNDS", 1)
+        monkeypatch.setattr(ngram_jaccard, "ROUNDS", 2)
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
     got = {tuple(r) for r in queries.op1_ngram_jaccard(spark, sf_dir).collect()}
     assert got == set(brute(rows))
@@ -94,12 +94,31 @@ def test_prefix_bound():
     assert ngram_jaccard.shingle_sets(pa.array(["a b", "", "a b c d e", "A b c d"]), 4)[0].tolist() == [1, 0, 2, 1]
 
 
-@pytest.mark.parametrize("in_task", [0, 100])
-def test_classes(spark, in_task):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (3, 1), *[(100 + i, 101 + i) for i in range(20)]], "a long, b long")
-    got = {r["node"]: r["label"] for r in ngram_jaccard.classes(edges, in_task).collect()}
-    assert {k: v for k, v in got.items() if k != 5} == {**{i: 1 for i in (1, 2, 3)}, **{i: 6 for i in (6, 7, 8, 9)}, **{100 + i: 100 for i in range(21)}}
-    assert ngram_jaccard.classes(edges.limit(0), in_task - 1).count() == 0
+@pytest.mark.parametrize("contracted", [2, 500_000])
+def test_classes(spark, contracted, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "CONTRACTED", contracted)
+    pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (3, 1), *[(100 + i, 101 + i) for i in range(60)], *[(1000, 1001 + i) for i in range(500)]]
+    rng = random.Random(4)
+    web = [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(260)]
+    pairs += web
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    got = {r["node"]: r["label"] for r in ngram_jaccard.classes(edges).collect()}
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        before = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    alone = {x for x in least if not any(x in p and p[0] != p[1] for p in pairs)}
+    assert {k: v for k, v in got.items()} == {k: v for k, v in least.items() if k not in alone}
+    assert ngram_jaccard.classes(edges.limit(0)).count() == 0
+
+
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        ngram_jaccard.components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_one_of_each_class_stays(spark, edge_docs):

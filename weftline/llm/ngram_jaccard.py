@@ -6,9 +6,9 @@ pairs of groups go through the size and position filters, and only then are expa
 compared. Links are wanted for their classes, so members that are known to be in one class already are not compared
 again: that keeps a group of many near copies from costing its square, and loses no class.
 
-    texts -> chunks (exact copies collapse) -> document frequencies -> prefixes
-          -> linking of neighbours by shared prefix shingle, in rounds -> classes
-          -> group pairs across classes, first with hubs, then all: filtered, expanded, verified -> classes
+    texts -> chunks (exact copies collapse) -> document frequencies -> prefixes -> groups
+          -> members within each group, then neighbours under one prefix shingle, verified in a stream -> classes
+          -> pairs of groups across classes: with hubs by one member each, then all: filtered, expanded, verified -> classes
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, plain
+from .shared import cut, plain, whole_ids
 from .vec import LOWER, SPACE, mix, slices, windows, words
 
 #: Words of a shingle, and the least per cent of the union that two linked sets share.
@@ -29,10 +29,10 @@ SHINGLE, PERCENT = 5, 80
 CHUNK = 4 << 20
 #: A shingle's place is known to so many bits within its bucket; buckets hold about BUCKET entries.
 PLACE_BITS, BUCKET = 26, 2_000_000
-#: Unlinked sets of one key that a new one is compared with while it is linked to its neighbours.
-LEADERS, ROUNDS = 64, 2
-#: Links whose classes one task finds, 16 bytes each; more are contracted in distributed steps, with the same result.
-IN_TASK_LINKS = 400_000
+#: Unlinked sets of one key that a new one is compared with while it is linked to its neighbours; keys for that.
+LEADERS, ROUNDS = 64, 3
+#: Links that a task contracts at a time before it hands on what is left of them.
+CONTRACTED = 500_000
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -119,25 +119,35 @@ class Chunk:
 
 
 def frequencies(chunks: DataFrame, bits: int, shingle: int) -> DataFrame:
-    """(chunk, bucket, at, df): which of a chunk's shingles, in order of place, occur in two texts or more, and in how
-    many, as 8 * log2. Places of a chunk go to the buckets as differences, about two bytes each."""
+    """(chunk, bucket, at, df): which of a chunk's distinct places, in order, occur in two texts or more, and in how many,
+    as 8 * log2. Places of a chunk go to the buckets as differences, about two bytes each, with the number of texts where
+    that is not one; so a shingle that a third of all texts have is one entry a chunk."""
 
     def send(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, bits, shingle)
-        places = np.sort(chunk.place)
+        places, n = np.unique(chunk.place, return_counts=True)
         at = chunk.bounds(places)
         some = np.flatnonzero(np.diff(at))
         low = (places & np.uint64((1 << PLACE_BITS) - 1)).astype(np.uint32)
-        data = []
+        data, many, times = [], [], []
         for i in some:
-            steps = np.diff(low[at[i] : at[i + 1]], prepend=np.uint32(0))
+            own = slice(at[i], at[i + 1])
+            steps = np.diff(low[own], prepend=np.uint32(0))
             data.append(steps.astype("<u2").tobytes() + b"2" if steps.max() < 1 << 16 else steps.astype("<u4").tobytes() + b"4")
+            several = np.flatnonzero(n[own] > 1)
+            many.append(several.astype("<u4").tobytes())
+            times.append(n[own][several].astype("<u4").tobytes())
         name = table.column("chunk")[0].as_py()
-        return pa.table({"bucket": pa.array(some, pa.int64()), "chunk": pa.array([name] * len(some), pa.int64()), "data": pa.array(data, pa.binary())})
+        return pa.table({"bucket": pa.array(some, pa.int64()), "chunk": pa.array([name] * len(some), pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in (("data", data), ("many", many), ("times", times))}})
 
     def count(table: pa.Table) -> pa.Table:
         places = [np.cumsum(np.frombuffer(x[:-1], "<u2" if x[-1:] == b"2" else "<u4"), dtype=np.uint32) for x in table.column("data").to_pylist()]
-        _, inverse, df = np.unique(np.concatenate(places), return_inverse=True, return_counts=True)
+        n = []
+        for p, where, times in zip(places, table.column("many").to_pylist(), table.column("times").to_pylist()):
+            n.append(np.ones(len(p), np.int64))
+            n[-1][np.frombuffer(where, "<u4")] = np.frombuffer(times, "<u4")
+        _, inverse = np.unique(np.concatenate(places), return_inverse=True)
+        df = np.bincount(inverse, np.concatenate(n))
         each = np.minimum(255, np.floor(8 * np.log2(df))).astype(np.uint8)[inverse]
         at, out, start = [], [], 0
         for p in places:
@@ -148,7 +158,7 @@ def frequencies(chunks: DataFrame, bits: int, shingle: int) -> DataFrame:
             start += len(p)
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "at": pa.array(at, pa.binary()), "df": pa.array(out, pa.binary())})
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, data binary")
+    sent = chunks.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, data binary, many binary, times binary")
     return sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, at binary, df binary")
 
 
@@ -162,11 +172,12 @@ def prefixes(chunks: DataFrame, bits: int, shingle: int = SHINGLE, percent: int
         if not texts.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         chunk = Chunk(texts, bits, shingle)
-        order = np.argsort(chunk.place, kind="stable")
-        at = chunk.bounds(chunk.place[order])
-        df = np.zeros(len(order), np.uint8)
+        places, which = np.unique(chunk.place, return_inverse=True)
+        at = chunk.bounds(places)
+        each = np.zeros(len(places), np.uint8)
         for bucket, where, d in zip(*(back.column(c).to_pylist() for c in ("bucket", "at", "df"))):
-            df[order[at[bucket] + np.frombuffer(where, "<u4").astype(np.int64)]] = np.frombuffer(d, np.uint8)
+            each[at[bucket] + np.frombuffer(where, "<u4").astype(np.int64)] = np.frombuffer(d, np.uint8)
+        df = each[which]
         ends = np.cumsum(chunk.n)
         length = chunk.n - needed(chunk.n, percent) + 1
         alone = np.concatenate([[0], np.cumsum(df == 0)])
@@ -220,48 +231,48 @@ def link_neighbours(batches: Iterator[pa.RecordBatch], percent: int = PERCENT, m
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
 
-def classes(links: DataFrame, in_task: int = IN_TASK_LINKS) -> DataFrame:
-    """(node, label) of links(a, b): the smallest node that links reach. The links are counted first."""
-    return classes_in_task(links) if links.count() <= in_task else classes_in_steps(links)
-
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as stars (u, v): each node but the least of what it reaches here, with that least one."""
+    root: dict[int, int] = {}
 
-def classes_in_task(links: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, find(x)) for x in root]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = find(a), find(b)
-                root[max(a, b)] = min(a, b)
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        if len(root) > CONTRACTED:
+            yield stars()
+    yield stars()
 
-    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, label long")
 
+def classes(links: DataFrame) -> DataFrame:
+    """(node, label) of links(a, b): the smallest node that links reach.
 
-def classes_in_steps(links: DataFrame) -> DataFrame:
-    """By alternating large and small stars; one written table a step. Only two sums of each step reach the driver."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    state = None
+    Tasks first contract the links that they hold to stars. Then, step by step, each node takes the least of its
+    neighbours' and their neighbours' labels, and its other neighbours are linked to that least one, until all are stars.
+    A step is one written table; only a count of what is left to do reaches the driver. A node's neighbours are a set
+    combined on the map side, one a task after the contraction.
+    """
+    edges = links.select("a", "b").mapInArrow(contracted, "u long, v long")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u > v").distinct(), "edges")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u > v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == now:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        near = edges.groupBy("u").agg(F.collect_set("v").alias("vs")).withColumn("p", F.array_min("vs"))
+        above = near.select(F.col("u").alias("w"), F.col("p").alias("pp"))
+        step = cut(near.join(above, F.col("p") == F.col("w"), "left").drop("w"), "stars")
+        if not step.where((F.size("vs") > 1) | F.col("pp").isNotNull()).limit(1).count():
+            return step.select(F.col("u").alias("node"), F.col("p").alias("label")).unionByName(step.select(F.col("p").alias("node"), F.col("p").alias("label")).distinct())
+        others = step.select(F.explode(F.array_remove("vs", F.col("p"))).alias("u"), F.col("p").alias("v"))
+        edges = step.select("u", F.coalesce("pp", "p").alias("v")).unionByName(others)
 
 
 def grouped(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -286,11 +297,12 @@ def near(percent: int):
 
 
 def hub_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each group with the group of another class that has its shingle foremost: the one with fewest rare shingles, as the
-    text that copies were made of. A pair an entry at most; the links found merge most classes before all pairs are taken."""
+    """The first members of each group and of the group of another class that has its shingle foremost: the one with fewest
+    rare shingles, as the text that copies were made of. A pair an entry at most; the links found merge most classes before
+    all pairs are taken."""
     foremost = F.min_by(F.struct("n", "label", "pos", "g"), F.struct("pos", "g"))
     hubs = cut(groups.groupBy("token").agg(foremost.alias("h")).select("token", "h.*"), "hubs")
-    return groups.alias("x").join(hubs.alias("y"), near(percent)).select(F.col("x.g").alias("x"), F.col("y.g").alias("y"))
+    return groups.alias("x").join(hubs.alias("y"), near(percent)).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
 
 
 def cross_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -323,20 +335,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def link_keys(sets: DataFrame) -> list[DataFrame]:
+    """(key, node, set) to be compared as neighbours: members of groups of several; then all by the commonest shared
+    shingle of the prefix, as copies of one text share it; then by the rarest."""
+    several = sets.groupBy("sig", "n").count().where("count > 1").drop("count")
+    inner = sets.join(several, ["sig", "n"], "left_semi").select(F.xxhash64("sig", "n").alias("key"), "node", "set")
+    return [inner, *(sets.select(F.element_at("tokens", at).alias("key"), "node", "set") for at in (-1, 1))]
+
+
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of every node that links to another."""
     found = None
-    for r in range(ROUNDS):
-        # The commonest shared shingle first, as copies of one text share it; then the rarest.
-        key = F.element_at("tokens", -1 if r % 2 == 0 else 1)
-        rows = sets.select(key.alias("key"), "node", "set", F.xxhash64("node", F.lit(r)).alias("mixed"))
-        rows = rows.repartitionByRange("key", "mixed").sortWithinPartitions("key", "mixed").select("key", "node", "set")
+    for r, rows in enumerate(link_keys(sets)[:ROUNDS]):
+        rows = rows.withColumn("mixed", F.xxhash64("node", F.lit(r))).repartitionByRange("key", "mixed").sortWithinPartitions("key", "mixed").select("key", "node", "set")
         links = cut(rows.mapInArrow(partial(link_neighbours, percent=percent, most=LEADERS), "a long, b long"), "links")
         found = links if found is None else found.unionByName(links)
     labels = cut(classes(found), "classes")
-    for pairs in (hub_pairs, cross_pairs):
+    for pairs in (lambda groups, members: hub_pairs(groups, percent), lambda groups, members: expanded(cross_pairs(groups, percent), members)):
         groups, members = grouped(sets, labels)
-        more = cut(verified(expanded(pairs(groups, percent), members), sets, percent), "links")
+        more = cut(verified(pairs(groups, members), sets, percent), "links")
         if more.limit(1).count():
             found = found.unionByName(more)
             labels = cut(classes(found), "classes")
@@ -346,19 +363,21 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with ``n_shingles`` (set size) and ``component_id`` (the smallest id that links reach, its own included).
 
-    Texts are compared whole, A-Z lower-cased. Links are exact but for 64-bit hashes of shingles and 128-bit hashes of
+    Ids are whole numbers (TypeError otherwise). Texts are compared whole, A-Z lower-cased. Links are exact but for 64-bit hashes of shingles and 128-bit hashes of
     sets. Documents with equal sets are linked. Null and empty texts, and those of white space, have no set, no link and
     their own id. A null id counts for no class: a class of null ids alone has a null component. Repeated rows get equal
     results. An empty table gives an empty table. Input columns named as an output column are replaced.
     """
     docs = plain(docs, "n_shingles", "component_id")
+    whole_ids(docs, id_col)
     _, table = solve(docs, F.col(id_col).cast("long"), F.col(text_col), shingle, percent)
     return placed(docs, table, F.col(id_col).cast("long"), F.col(text_col))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class of ``components``: one with the smallest id, and of rows that share it any one.
-    Rows without a set stay. A null id counts as the hash of its text."""
+    Rows without a set stay. A null id counts as the hash of its text. Ids are whole numbers (TypeError otherwise)."""
+    whole_ids(docs, id_col)
     own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
     marked = plain(docs, "__own").withColumn("__own", own)
     narrow, table = solve(marked, F.col("__own"), F.col(text_col), shingle, percent)
@@ -399,7 +418,8 @@ def solve(docs: DataFrame, own_id, text, shingle: int, percent: int) -> tuple[Da
 
 
 def placed(docs: DataFrame, table: DataFrame, own_id, text) -> DataFrame:
-    keyed = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
+    # Rows without a text are dealt by their id, not all to one place.
+    keyed = docs.withColumns({"__h1": F.when(text.isNotNull(), F.xxhash64(text)).otherwise(F.xxhash64(own_id)), "__h2": F.xxhash64(F.lit(1), text)})
     out = keyed.join(table, (F.col("__h1") == F.col("__r1")) & (F.col("__h2") == F.col("__r2")) & text.isNotNull(), "left")
     n = F.coalesce("__n", F.lit(0)).cast("long")
     return out.select(*docs.columns, n.alias("n_shingles"), F.when(n > 0, F.col("__c")).otherwise(own_id).cast("long").alias("component_id"))
