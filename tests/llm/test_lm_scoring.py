@@ -42,7 +42,9 @@ def test_query_against_brute_force(spark, sf_dir):
     compare(got, brute(rows))
     assert all(r[6] < 0 for r in got)
     # On held-out texts, contexts are worth more than a fifth of what symbols alone cost.
-    root = lm_scoring.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_states=0).where("held_out").agg(F.sum("score")).first()[0]
+    held = [(i, x) for i, x in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    seen = Counter(c for i, x in rows if (i, x) not in set(held) for c in b" ".join(t.encode() for t in tokens(x)) + b"\n")
+    root = sum(math.log10((seen[c] + 1) / (sum(seen.values()) + 256)) for _, x in held for c in b" ".join(t.encode() for t in tokens(x)) + b"\n")
     assert sum(r[6] for r in got if r[1]) > 0.8 * root
 
 
@@ -65,66 +67,61 @@ def test_stream_of_a_chunk():
     assert [int(k).to_bytes(6, "big") for k in keys] == [b"\n\n\n\n\nb", b"\n\n\n\nbc", b"\n\n\nbc\n"]
 
 
-def tree():
-    rows = [(b"", [97, 98, 10], [6, 3, 1]), (b"a", [97, 98], [1, 5]), (b"b", [97], [3]), (b"ab", [97, 10], [4, 1])]
-    return lm_scoring.build_tree(rows, [10, 97, 98])
-
-
-def test_tree_is_a_distribution_and_takes_the_longest_suffix():
-    t = tree()
-    p = 10.0 ** t.logp
-    seen = p[:, 1:].sum(1) + p[:, 0] * (256 - 3)
-    assert seen == pytest.approx(np.ones(len(p)), abs=1e-5)
-    text = b"\n" * lm_scoring.DEPTH + b"aababbax\n"
-    s = np.frombuffer(text, np.uint8)
-    want, history = 0.0, text[: lm_scoring.DEPTH]
-    for c in text[lm_scoring.DEPTH :]:
-        state = max((k for k in t.contexts if history.endswith(k)), key=len)
-        want += t.logp[t.contexts.index(state), t.classes[c]]
-        history += bytes([c])
-    assert t.score(s, np.array([len(text)]))[0] == pytest.approx(want, abs=1e-5)
-
-
-def test_lanes_do_not_change_scores(monkeypatch):
-    t, rng = tree(), np.random.default_rng(2)
-    parts = [np.concatenate([np.full(lm_scoring.DEPTH, 10), rng.choice([97, 98, 32], n), [10]]).astype(np.uint8) for n in (0, 3, 700, 2000, 1)]
-    s, past = np.concatenate(parts), np.cumsum([len(x) for x in parts])
-    whole = t.score(s, past)
-    monkeypatch.setattr(lm_scoring, "LANE", 37)
-    assert t.score(s, past) == pytest.approx(whole, abs=1e-3)
-
-
-def whole_tree(streams):
-    """The tree of all contexts that pass the divergence test, in one process."""
-    grams = Counter(s[i - lm_scoring.DEPTH : i + 1] for s in streams for i in range(lm_scoring.DEPTH, len(s)))
-    levels = [Counter() for _ in range(lm_scoring.DEPTH + 1)]
-    for g, n in grams.items():
-        for d, level in enumerate(levels):
-            level[g[lm_scoring.DEPTH - d :]] += n
+def plain_tree(texts):
+    """States with their next-symbol counts, straight from the definition; texts: bytes without the end symbol."""
+    pad, depth = b"\n" * lm_scoring.DEPTH, lm_scoring.DEPTH
     nexts = {}
-    for level in levels:
-        for g, n in level.items():
-            nexts.setdefault(g[:-1], {})[g[-1]] = n
-    total = {c: sum(x.values()) for c, x in nexts.items()}
+    for x in texts:
+        x = pad + x + b"\n"
+        for i in range(depth, len(x)):
+            for d in range(depth + 1):
+                nexts.setdefault(x[i - d : i], Counter())[x[i]] += 1
+    total = {c: sum(n.values()) for c, n in nexts.items()}
     least = lm_scoring.PENALTY * math.log(total[b""])
     gain = lambda c: sum(n * math.log(n / total[c] / (nexts[c[1:]][b] / total[c[1:]])) for b, n in nexts[c].items())
     passing = [c for c in nexts if c and gain(c) > least * len(nexts[c])]
-    states = {c[i:j] for c in passing for i in range(len(c)) for j in range(i + 1, len(c) + 1)} | {b""}
-    tree = lm_scoring.build_tree([(c, list(nexts.get(c, {})), list(nexts.get(c, {}).values())) for c in states], sorted(nexts[b""]))
-    return tree, len(passing)
+    return {c: nexts[c] for c in {p[i:] for p in passing for i in range(len(p))} | {b""}}, len(passing)
 
 
-def test_every_context_that_passes_is_a_state(spark):
+def plain_probability(states, context, symbol):
+    if context == b"":
+        return (states[b""][symbol] + 1) / (sum(states[b""].values()) + 256)
+    n, prior = states[context], lm_scoring.PRIOR
+    return (n[symbol] + prior * plain_probability(states, context[1:], symbol)) / (sum(n.values()) + prior)
+
+
+def plain_score(states, text):
+    x, out = b"\n" * lm_scoring.DEPTH + text + b"\n", 0.0
+    for i in range(lm_scoring.DEPTH, len(x)):
+        longest = next(x[i - d : i] for d in range(lm_scoring.DEPTH, -1, -1) if x[i - d : i] in states)
+        out += math.log10(plain_probability(states, longest, x[i]))
+    return out
+
+
+@pytest.mark.parametrize("group", [64 << 20, 3000])
+def test_scores_are_those_of_the_whole_tree(spark, group, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "GROUP_SYMBOLS", group)  # with the small one, buckets are dealt to several groups
+    monkeypatch.setattr(lm_scoring, "CHUNK", 20_000)
     rng = random.Random(3)
-    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8000)]
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(4000)]
     said = vocabulary * 12
     rng.shuffle(said)
     texts = [" ".join(said[i : i + 400]) for i in range(0, len(said), 400)]
-    pad = b"\n" * lm_scoring.DEPTH
-    t, n = whole_tree([pad + x.encode() + b"\n" for x in texts])
-    assert n > 20_000
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, F.lit(False)).collect()}
-    for i in range(0, len(texts), 10):
-        s = np.frombuffer(pad + texts[i].encode() + b"\n", np.uint8)
-        assert got[i] == pytest.approx(t.score(s, np.array([len(s)]))[0], rel=1e-5)
+    states, n = plain_tree([x.encode() for x in texts])
+    assert n > 8000 and len({len(c) for c in states}) > 3
+    texts += ["never SEEN Ünïcode here", "", "zzzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, F.col("doc_id") >= len(texts) - 3).collect()}
+    for i in [*range(0, len(texts), 10), *range(len(texts) - 3, len(texts))]:
+        assert got[i] == pytest.approx(plain_score(states, " ".join(tokens(texts[i])).encode()), rel=1e-5)
+
+
+def test_probabilities_of_a_context_add_up_to_one():
+    states, _ = plain_tree([b"abracadabra alakazam"] * 40)
+    for c in states:
+        assert sum(plain_probability(states, c, b) for b in range(256)) == pytest.approx(1)
+
+
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        lm_scoring.score(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

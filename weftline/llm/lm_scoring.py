@@ -1,24 +1,27 @@
-"""LM scoring: a probabilistic suffix tree over the bytes of the token stream, and exact unigram counts.
+"""LM scoring: a probabilistic suffix tree over the bytes of the token stream, and unigram counts of its words.
 
 The stream of a text is its words, lower-cased (A-Z), with one space between, and an end symbol. A state of the tree
 is a context of up to ``DEPTH`` preceding symbols, kept where a divergence test tells its next-symbol distribution
-from that of the context one symbol shorter. A text is scored from the longest suffix of its history that is a state.
-Every context that passes is kept, however many there are. States of three symbols and more stay a table: they meet the
-distinct contexts of each chunk in buckets of the last three symbols, and log probabilities go back to the chunks.
+from that of the context one symbol shorter; and the suffixes of such, which are its path to the root. A text is scored
+from the longest suffix of its history that is a state, whose distribution is smoothed with that of its path.
+Every context that passes is kept, however many there are. Counts stay a table, dealt into buckets by the last three
+symbols of a context, so a bucket holds all of a path but its last two steps, which the alphabet bounds. The distinct
+contexts of each chunk meet the counts there, and log probabilities go back to the chunks.
+
+    texts -> chunks -> words by hash: counts back to the chunks
+                    -> counts of (context, symbol) -> states of one and two symbols -> bucket: states, log probabilities
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import crc32_of_id, cut
+from .shared import crc32_of_id, cut, whole_ids
 from .vec import SPACE, LOWER, slices, spans, words
 
 DEPTH, END, GAP = 5, 0x0A, 0x20
@@ -29,7 +32,8 @@ NEAR = 3
 #: Weight of the shorter context's distribution in a state's own, in symbols.
 PRIOR = 4.0
 CHUNK = 4 << 20
-LANE = 512
+#: Symbols of training text that one group of a bucket answers for; a bucket with more is dealt to several by chunk.
+GROUP_SYMBOLS = 64 << 20
 
 
 # ---- chunks: the corpus as local word numbers and a dictionary -------------------------------------------------
@@ -135,162 +139,61 @@ def stream(n: np.ndarray, ids: np.ndarray, dictionary: bytes, sizes: bytes) -> t
     return out, past
 
 
-def gram_keys(s: np.ndarray, past: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """(DEPTH preceding symbols, symbol) as one number, of each symbol of the texts to use."""
-    begin = np.concatenate([[0], past[:-1]]) + DEPTH
-    at = spans(begin[use], (past - begin)[use])
-    key = np.zeros(len(at), np.uint64)
-    for j in range(DEPTH, -1, -1):
-        key = (key << np.uint64(8)) | s[at - j]
-    return key
+def gram_keys(s: np.ndarray, past: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+    """(DEPTH preceding symbols, symbol) as one number, of each symbol of the texts, or of those to use."""
+    n = max(0, len(s) - DEPTH)
+    key = np.zeros(n, np.uint64)
+    for j in range(DEPTH + 1):
+        key <<= np.uint64(8)
+        key |= s[j : j + n]
+    inside = np.ones(len(s), bool)
+    begin = np.concatenate([[0], past[:-1]])
+    inside[(begin[:, None] + np.arange(DEPTH)).reshape(-1)] = False
+    if use is not None:
+        inside &= np.repeat(use, past - begin)
+    return key[inside[DEPTH:]]
 
 
-def train_grams(chunks: DataFrame) -> DataFrame:
-    """Counts of all (context of DEPTH symbols, next symbol) of the training texts."""
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order of first sight, and the number of each among them."""
+    found = pa.array(keys.view(np.int64)).dictionary_encode()
+    return found.dictionary.to_numpy().view(np.uint64), found.indices.to_numpy()
+
+
+def train_grams(chunks: DataFrame, bits: int) -> DataFrame:
+    """(key, n, bucket): counts of all (context of DEPTH symbols, next symbol) of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             for held, n, ids, d, sizes in one_by_one(b):
                 s, past = stream(np.frombuffer(n, "<i4"), np.frombuffer(ids, "<i4"), d, sizes)
-                new, m = np.unique(gram_keys(s, past, ~np.frombuffer(held, bool)), return_counts=True)
-                keys, counts = merged(np.concatenate([keys, new]), np.concatenate([counts, m]))
+                new, at = distinct(gram_keys(s, past, ~np.frombuffer(held, bool)))
+                keys, counts = summed(np.concatenate([keys, new]), np.concatenate([counts, np.bincount(at, minlength=len(new))]))
                 if len(keys) > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["key", "n"])
                     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["key", "n"])
 
-    return cut(chunks.select("held", "n", "ids", "dict", "sizes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
+    found = chunks.select("held", "n", "ids", "dict", "sizes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    last = F.shiftright("key", 8).bitwiseAND(F.lit(low(NEAR)))
+    return cut(found.withColumn("bucket", F.shiftright((last * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits)), "lm-grams")
 
 
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    out, inverse = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(out), np.int64)
-    np.add.at(total, inverse, counts)
-    return out, total
-
-
-@dataclass
-class SuffixTree:
-    """A whole tree in one process, for small models and as what the tables below are tested against.
-
-    contexts: symbols of each state, state 0 being the root. step, logp: by state and symbol class."""
-
-    contexts: list[bytes]
-    classes: np.ndarray
-    step: np.ndarray
-    logp: np.ndarray
-
-    def score(self, s: np.ndarray, past: np.ndarray) -> np.ndarray:
-        """log10 probability of each text. The stream is cut into lanes that advance together; a lane begins DEPTH
-        symbols early, after which its state is that of the whole history, as no context is longer."""
-        if not len(s):
-            return np.zeros(0)
-        lanes = -(-len(s) // LANE)
-        x = np.full(DEPTH + lanes * LANE, END, np.uint8)
-        x[DEPTH : DEPTH + len(s)] = s
-        x = self.classes[x]
-        width, k = LANE, self.step.shape[1]
-        step, logp = self.step.reshape(-1), self.logp.reshape(-1)
-        at = np.arange(lanes, dtype=np.int64) * LANE
-        state = np.zeros(lanes, np.int64)
-        out = np.zeros((LANE, lanes), np.float32)
-        for i in range(DEPTH + width):
-            cell = state * k + x[at + i]
-            if i >= DEPTH:
-                out[i - DEPTH] = logp[cell]
-            state = step[cell].astype(np.int64)
-        sums = np.concatenate([[0.0], np.cumsum(out.T.reshape(-1), dtype=np.float64)])
-        begin = np.concatenate([[0], past[:-1]]) + DEPTH
-        return sums[past] - sums[begin]
-
-
-def build_tree(rows: list[tuple[bytes, bytes, list[int], list[int]]], symbols: list[int]) -> SuffixTree:
-    """rows: of each state the context, its next symbols and their counts; the root, as b'', among them, and every
-    prefix and suffix of a context. symbols: all seen in training; any other byte falls into class 0."""
-    classes = np.zeros(256, np.int64)
-    for i, b in enumerate(symbols):
-        classes[b] = i + 1
-    k = len(symbols) + 1
-    contexts = sorted((r[0] for r in rows), key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(contexts)}
-    nexts = {r[0]: (r[1], r[2]) for r in rows}
-    p = np.zeros((len(contexts), k))
-    step = np.zeros((len(contexts), k), np.int32)
-    for i, c in enumerate(contexts):
-        seen, n = nexts[c]
-        at, n = classes[np.asarray(seen, np.int64)], np.asarray(n, np.float64)
-        own = np.zeros(k)
-        own[at] = n
-        # The root gives each byte value an extra count of one; its class of unseen bytes stands for each of them.
-        above = p[number[c[1:]]] if c else np.ones(k) / 256
-        prior = PRIOR if c else 256.0
-        p[i] = (own + prior * above) / (n.sum() + prior)
-        if c:
-            step[i] = step[number[c[1:]]]
-        for b in range(k - 1):
-            j = number.get(c + bytes([symbols[b]]))
-            if j is not None:
-                step[i, b + 1] = j
-    return SuffixTree(contexts, classes, step, np.log10(p).astype(np.float32))
+def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Of (context, symbol) keys, by a hash of the last NEAR symbols of the context."""
+    last = (keys >> np.uint64(8)) & np.uint64(low(NEAR))
+    return ((last * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
 
 
 def low(symbols: int) -> int:
     return (1 << (8 * symbols)) - 1
 
 
-def kept_states(grams: DataFrame, max_states: int | None = None) -> tuple[DataFrame, int]:
-    """(d, ctx, sym, logp, rest) of each symbol seen after each state of d symbols: its log10 probability, and what is
-    added to the log10 probability by the context one symbol shorter for a symbol not seen; and all symbols.
-
-    States are the contexts told from the context one symbol shorter by their divergence, and all parts of such."""
-    levels = [grams.select(F.col("key"), F.col("n"))]
-    for d in range(DEPTH - 1, -1, -1):
-        levels.insert(0, cut(levels[0].groupBy(F.col("key").bitwiseAND(F.lit(low(d + 1))).alias("key")).agg(F.sum("n").alias("n")), f"lm-level{d}"))
-    named = [x.select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(F.lit(255)).alias("sym"), "n") for x in levels]
-    totals = [x.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("k")) for x in named]
-    all_symbols = int(named[0].agg(F.sum("n")).first()[0] or 0)
-    tests = None
-    for d in range(1, DEPTH + 1):
-        own = named[d].join(totals[d], "ctx").withColumn("up", F.col("ctx").bitwiseAND(F.lit(low(d - 1))))
-        above = named[d - 1].join(totals[d - 1], "ctx").select(F.col("ctx").alias("up"), "sym", (F.col("n") / F.col("t")).alias("q"))
-        gain = own.join(above, ["up", "sym"]).groupBy("ctx", "t", "k").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("t") / F.col("q"))).alias("gain"))
-        kept = gain.where(F.col("gain") > PENALTY * F.col("k") * float(np.log(max(all_symbols, 1)))).select(F.lit(d).alias("d"), "ctx", "gain")
-        tests = kept if tests is None else tests.unionByName(kept)
-    if max_states is not None:
-        tests = tests.orderBy(F.desc("gain"), "d", "ctx").limit(max_states)
-    # A context's part of ``size`` symbols that ends ``after`` symbols before its end.
-    parts = [(size, F.shiftright("ctx", 8 * after).bitwiseAND(F.lit(low(size))), F.col("d") >= size + after) for size in range(1, DEPTH + 1) for after in range(DEPTH + 1 - size)]
-    each = F.explode(F.array(*(F.when(has, F.struct(F.lit(size).alias("d"), ctx.alias("ctx"))) for size, ctx, has in parts)))
-    states = cut(tests.select(each.alias("s")).where("s is not null").select("s.*").distinct(), "lm-states")
-    # The root gives each byte value an extra count of one.
-    out = [cut(named[0].select(F.lit(0).alias("d"), "ctx", "sym", F.log10((F.col("n") + 1) / F.lit(all_symbols + 256.0)).alias("logp"), F.lit(0.0).alias("rest")), "lm-model0")]
-    for d in range(1, DEPTH + 1):
-        own = named[d].join(states.where(F.col("d") == d).select("ctx"), "ctx").withColumn("t", F.sum("n").over(Window.partitionBy("ctx")))
-        above = out[-1].select(F.col("ctx").alias("up"), "sym", F.pow(F.lit(10.0), "logp").alias("q"))
-        both = own.withColumn("up", F.col("ctx").bitwiseAND(F.lit(low(d - 1)))).join(above, ["up", "sym"])
-        logp, rest = F.log10((F.col("n") + PRIOR * F.col("q")) / (F.col("t") + PRIOR)), F.log10(PRIOR / (F.col("t") + PRIOR))
-        out.append(cut(both.select(F.lit(d).alias("d"), "ctx", "sym", logp.alias("logp"), rest.alias("rest")), f"lm-model{d}"))
-    model = out[0]
-    for x in out[1:]:
-        model = model.unionByName(x)
-    return model, all_symbols
-
-
-Levels = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def by_level(model: pa.Table) -> Levels:
-    """Of each depth: (context, symbol) keys in order and their log10 probabilities; contexts in order and their rest."""
-    d, ctx, sym, logp, rest = (model.column(c).to_numpy() for c in ("d", "ctx", "sym", "logp", "rest"))
-    out = {}
-    for depth in np.unique(d).tolist():
-        own = np.flatnonzero(d == depth)
-        key = (ctx[own].astype(np.uint64) << np.uint64(8)) | sym[own].astype(np.uint64)
-        own, key = own[np.argsort(key)], np.sort(key)
-        contexts, first = np.unique(key >> np.uint64(8), return_index=True)
-        out[depth] = key, logp[own], contexts, rest[own][first]
-    return out
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, and their sums."""
+    out, inverse = np.unique(keys, return_inverse=True)
+    return out, np.bincount(inverse, counts, len(out)).astype(np.int64)
 
 
 def place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,12 +201,90 @@ def place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), bool)
 
 
-def log_probabilities(keys: np.ndarray, levels: Levels, all_symbols: int) -> np.ndarray:
+class Level:
+    """Counts of contexts of ``d`` symbols: (context, symbol) keys in order and how often each was seen; the contexts in
+    order, where each one's keys begin, their total."""
+
+    def __init__(self, d: int, keys: np.ndarray, n: np.ndarray):
+        self.d = d
+        self.keys, self.n = summed(keys & np.uint64(low(d + 1)), n)
+        ctx = self.keys >> np.uint64(8)
+        self.first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else np.zeros(0, np.int64)
+        self.contexts = ctx[self.first]
+        self.total = np.add.reduceat(self.n, self.first) if len(ctx) else np.zeros(0, np.int64)
+        self.seen = np.diff(np.append(self.first, len(ctx)))
+
+    def passing(self, above: Level, all_symbols: int) -> np.ndarray:
+        """Which contexts the divergence test tells from those one symbol shorter, in ``above``."""
+        if not len(self.keys):
+            return np.zeros(0, bool)
+        of = np.repeat(np.arange(len(self.contexts)), self.seen)
+        own = self.keys & np.uint64(low(self.d))
+        at, _ = place(above.keys, own)
+        over, _ = place(above.contexts, own >> np.uint64(8))
+        each = self.n * np.log(self.n / self.total[of] * (above.total[over] / above.n[at]))
+        return np.round(np.add.reduceat(each, self.first), 6) > PENALTY * self.seen * np.log(all_symbols)
+
+
+#: Of each depth: (context, symbol) keys of the states in order and their log10 probabilities; the states in order, and what
+#: is added to the log10 probability by the context one symbol shorter for a symbol not seen.
+States = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def with_level(states: States, level: Level, kept: np.ndarray, all_symbols: int) -> None:
+    """Add the ``kept`` contexts of a level to the states, smoothed with the level above."""
+    mine = np.repeat(kept, level.seen)
+    keys, n, t = level.keys[mine], level.n[mine], np.repeat(level.total, level.seen)[mine]
+    if level.d:
+        above, logp, _, _ = states[level.d - 1]
+        at, _ = place(above, keys & np.uint64(low(level.d)))
+        states[level.d] = keys, np.log10((n + PRIOR * 10.0 ** logp[at]) / (t + PRIOR)), level.contexts[kept], np.log10(PRIOR / (level.total[kept] + PRIOR))
+    else:  # the root gives each byte value an extra count of one
+        states[0] = keys, np.log10((n + 1) / (all_symbols + 256.0)), level.contexts[kept], np.zeros(int(kept.sum()))
+
+
+def far_kept(keys: np.ndarray, n: np.ndarray, near: Level, all_symbols: int) -> list[tuple[Level, np.ndarray]]:
+    """Levels from NEAR symbols on of the counts of a bucket, each with which of its contexts are states. near: the level
+    above the first."""
+    levels = [near, *(Level(d, keys, n) for d in range(NEAR, DEPTH + 1))]
+    kept = [x.passing(above, all_symbols) for above, x in zip(levels, levels[1:])]
+    for i in range(len(kept) - 1, 0, -1):  # suffixes of states are states
+        at, _ = place(levels[i].contexts, np.unique(levels[i + 1].contexts[kept[i]] & np.uint64(low(levels[i].d))))
+        kept[i - 1][at] = True
+    return list(zip(levels[1:], kept))
+
+
+def near_states(grams: DataFrame) -> tuple[States, Level, int]:
+    """States of fewer than NEAR symbols, the level of NEAR - 1, and all symbols. Each (context, symbol) of these is a row
+    on the driver: their number is bounded by the alphabet, 256 to the power of NEAR, not by the corpus."""
+    rows = grams.groupBy(F.col("key").bitwiseAND(F.lit(low(NEAR))).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = rows.column("key").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+    levels = [Level(d, keys, n) for d in range(NEAR)]
+    all_symbols = int(n.sum())
+    kept = [np.ones(len(levels[0].contexts), bool), *(x.passing(above, all_symbols) for above, x in zip(levels, levels[1:]))]
+
+    def needed(table: pa.Table) -> pa.Table:
+        level, far = far_kept(table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy(), last.value, max(all_symbols, 1))[0]
+        return pa.table({"ctx": pa.array(np.unique(level.contexts[far] & np.uint64(low(NEAR - 1))).astype(np.int64))})
+
+    last = grams.sparkSession.sparkContext.broadcast(levels[-1])
+    wanted = grams.select("bucket", "key", "n").groupBy("bucket").applyInArrow(needed, "ctx long").distinct().toArrow().column("ctx").to_numpy().astype(np.uint64)
+    for d in range(NEAR - 1, 0, -1):
+        at, _ = place(levels[d].contexts, np.unique(wanted))
+        kept[d][at] = True
+        wanted = levels[d].contexts[kept[d]] & np.uint64(low(d - 1))
+    states: States = {}
+    for level, k in zip(levels, kept):
+        with_level(states, level, k, all_symbols)
+    return states, levels[-1], all_symbols
+
+
+def log_probabilities(keys: np.ndarray, states: States, all_symbols: int) -> np.ndarray:
     """log10 probability of the symbol of each (DEPTH symbols, symbol), from its longest suffix that is a state."""
     out, left = np.zeros(len(keys)), np.arange(len(keys))
     for d in range(DEPTH, -1, -1):
-        if d in levels:
-            seen, logp, contexts, rest = levels[d]
+        if d in states:
+            seen, logp, contexts, rest = states[d]
             own = keys[left] & np.uint64(low(d + 1))
             at, hit = place(seen, own)
             out[left[hit]] += logp[at[hit]]
@@ -315,85 +296,81 @@ def log_probabilities(keys: np.ndarray, levels: Levels, all_symbols: int) -> np.
     return out
 
 
-def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Of (context, symbol) keys, by a hash of the last NEAR symbols of the context."""
-    last = (keys >> np.uint64(8)) & np.uint64(low(NEAR))
-    return ((last * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+def bucket_bits(chunks: DataFrame) -> int:
+    """Bits of a bucket's number. A chunk has one distinct key in 20 symbols or so; buckets hold about 500,000 keys."""
+    size = chunks.agg(F.sum(F.octet_length("ids"))).first()[0] or 0  # four bytes a word, of about five symbols
+    return min(20, max(6, int(np.ceil(np.log2(size / 16 / 500_000 + 1)))))
 
 
-def scores_back(chunks: DataFrame, model: DataFrame, all_symbols: int) -> tuple[DataFrame, int]:
-    """For each chunk and bucket, log10 probabilities of the chunk's distinct keys, by bucket and then by key. A chunk has
-    one distinct key in 20 symbols or so; buckets hold about 500,000 keys. And the bits of a bucket's number."""
-    bits = min(20, max(6, int(np.ceil(np.log2(all_symbols / 20 / 500_000 + 1)))))
-    near = by_level(model.where(F.col("d") < NEAR).toArrow())
-    shared = chunks.sparkSession.sparkContext.broadcast(near)
+def scores_back(chunks: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
+    """For each chunk and bucket, log10 probabilities of the chunk's distinct keys, by bucket and then by first sight.
+
+    A group is a bucket, or where its contexts make up much of the text, its part for some of the chunks, with the
+    bucket's counts for each; so groups do not grow with the corpus. Counts of a bucket are bounded by the alphabet.
+    """
+    states, last, all_symbols = near_states(grams)
+    sc = chunks.sparkSession.sparkContext
+    shared = sc.broadcast((states, last))
+    heavy = grams.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP_SYMBOLS).collect()  # at most 2**bits
+    parts = {r["bucket"]: 1 + r["n"] // GROUP_SYMBOLS for r in heavy}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, n, ids, d, sizes in one_by_one(b):
-                key = distinct_keys(*stream(np.frombuffer(n, "<i4"), np.frombuffer(ids, "<i4"), d, sizes))
+                key, _ = distinct(gram_keys(*stream(np.frombuffer(n, "<i4"), np.frombuffer(ids, "<i4"), d, sizes)))
                 bucket = bucket_of(key, bits)
                 order = np.argsort(bucket, kind="stable")
                 key, at = key[order], np.searchsorted(bucket[order], np.arange((1 << bits) + 1).astype(np.uint64))
-                some = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([chunk] * len(some), pa.int64()), pa.array([key[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["bucket", "chunk", "keys"])
-
-    def meet(asked: pa.Table, states: pa.Table) -> pa.Table:
-        levels = shared.value | by_level(states)
-        found = [log_probabilities(np.frombuffer(x.as_py(), np.uint64), levels, all_symbols).astype("<f4").tobytes() for x in asked.column("keys")]
+                some = np.flatnonzero(np.diff(at)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk % parts.get(i, 1) for i in some], pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array([key[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["bucket", "part", "chunk", "keys"])
+
+    def meet(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        near, above = shared.value
+        own = dict(near)
+        for level, kept in far_kept(counts.column("key").to_numpy().astype(np.uint64), counts.column("n").to_numpy(), above, max(all_symbols, 1)):
+            with_level(own, level, kept, all_symbols)
+        found = [log_probabilities(np.frombuffer(x.as_py(), np.uint64), own, all_symbols).astype("<f4").tobytes() for x in asked.column("keys")]
         return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(found, pa.binary())], names=["chunk", "bucket", "logp"])
 
-    sent = chunks.select("chunk", "n", "ids", "dict", "sizes").mapInArrow(split, "bucket long, chunk long, keys binary")
-    hashed = F.shiftright((F.col("ctx").bitwiseAND(F.lit(low(NEAR))) * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits)
-    far = model.where(F.col("d") >= NEAR).withColumn("bucket", hashed)
-    return cut(sent.groupBy("bucket").cogroup(far.groupBy("bucket")).applyInArrow(meet, "chunk long, bucket long, logp binary"), "lm-logp", "zstd"), bits
-
-
-def distinct_keys(s: np.ndarray, past: np.ndarray) -> np.ndarray:
-    return np.unique(gram_keys(s, past, np.ones(len(past), bool)))
+    sent = chunks.select("chunk", "n", "ids", "dict", "sizes").mapInArrow(split, "bucket long, part long, chunk long, keys binary")
+    table = F.create_map(*(F.lit(v) for pair in parts.items() for v in pair)) if parts else None
+    n_parts = F.coalesce(F.try_element_at(table, F.col("bucket")), F.lit(1)) if parts else F.lit(1)
+    dealt = grams.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), n_parts.cast("long") - 1)).alias("part"), "key", "n")
+    return cut(sent.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInArrow(meet, "chunk long, bucket long, logp binary"), "lm-logp", "zstd")
 
 
 def text_scores(s: np.ndarray, past: np.ndarray, by_bucket: np.ndarray, bits: int) -> np.ndarray:
-    """log10 probability of each text of a chunk, from what ``scores_back`` gives for it. A slice of symbols at a time."""
+    """log10 probability of each text of a chunk, from what ``scores_back`` gives for it."""
     if not len(past):
         return np.zeros(0)
-    keys = distinct_keys(s, past)
+    keys, at = distinct(gram_keys(s, past))
     logp = np.empty(len(keys))
     logp[np.argsort(bucket_of(keys, bits), kind="stable")] = by_bucket
-    begin = np.concatenate([[0], past[:-1]]) + DEPTH
-    out = np.zeros(len(past))
-    ends = np.cumsum(past - begin)
-    lo = 0
-    while lo < len(past):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), "right")))
-        some = slice(lo, hi)
-        use = np.zeros(len(past), bool)
-        use[some] = True
-        each = logp[np.searchsorted(keys, gram_keys(s, past, use))]
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        size = np.cumsum((past - begin)[some])
-        out[some] = np.diff(sums[np.concatenate([[0], size])])
-        lo = hi
-    return out
+    sums = np.concatenate([[0.0], np.cumsum(logp[at])])
+    ends = past - DEPTH * np.arange(1, len(past) + 1)
+    return np.diff(sums[np.concatenate([[0], ends])])
 
 
 # ---- scores ----------------------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", max_states: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens (words and the end), n_known (tokens seen in training),
     train_tokens, base_score (add-one unigrams, log10) and score (the suffix tree's log10 probability of the text).
 
     ``held_out``: a boolean column; such rows are not learnt from. Default: crc32 of the id as text, modulo 7, is 2.
-    Null texts count as empty: one token, the end. Repeated rows count and are scored each for itself. Without any
-    training row every distribution is uniform and base_score is log10(1/1) for each token. ``max_states``: only so many
-    contexts, by falling n * divergence; none is left out by default.
+    Ids are whole numbers (TypeError otherwise) or null. Null texts count as empty: one token, the end. Repeated rows count
+    and are scored each for itself, alike. Without any training row every distribution is uniform and base_score is
+    log10(1/1) for each token. An empty table gives no rows. Other columns of ``docs`` are left out, so none clashes. Word
+    counts are exact but for collisions of 64-bit hashes.
     """
+    whole_ids(docs, id_col)
     held_out = held_out if held_out is not None else F.pmod(crc32_of_id(F.col(id_col)), F.lit(7)) == 2
     chunks = chunked(docs, held_out, id_col, text_col)
     back, n_train, distinct = counts_back(chunks)
     ends = int(chunks.agg(F.sum("n_train_docs")).first()[0] or 0)
-    logps, bits = scores_back(chunks, *kept_states(train_grams(chunks), max_states))
+    bits = bucket_bits(chunks)
+    logps = scores_back(chunks, train_grams(chunks, bits), bits)
     floor = np.log10(n_train + distinct + (1 if ends else 0) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
