@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -34,7 +35,30 @@ def test_outliers_are_exceptions():
 
 def test_file_rejects_other_bytes():
     with pytest.raises(ValueError):
-        token_output.read_file(b"nonsense" * 10)
+        list(token_output.read_file(io.BytesIO(b"nonsense" * 10), 80))
+
+
+@pytest.mark.parametrize("file_ids", [1, 700, 1 << 20])
+def test_files_are_rolled(spark, edge_docs, edge_rows, file_ids, monkeypatch):
+    monkeypatch.setattr(token_output, "READ_IDS", 500)
+    folder = token_output.new_path(spark, "rolled")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    manifest = token_output.write_tokens(edge_docs.where("doc_id is not null").coalesce(1), PATH, folder, file_ids=file_ids)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted(tuple(r) for r in token_output.read_tokens(manifest, folder, False).collect())
+    assert got == sorted(expected(sorted((r[0], r[1] or "") for r in edge_rows if r[0] is not None)))
+    assert (manifest.count() > 2) == (file_ids < 1000) and manifest.agg({"n_docs": "sum"}).first()[0] == len(got)
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Mixed CASE  words,\nand lines", "", None, "ÄÖ e\u0301 <|endoftext|>"]
+    out = token_output.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    whole = Tokenizer.from_file(path)
+    assert {r["doc_id"]: r["ids"] for r in out} == {i: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert PIECES.piecewise and not token_output.PieceEncoder(path).piecewise
+    with pytest.raises(TypeError, match="doc_id"):
+        token_output.round_trip(spark.createDataFrame([("a", "b")], "doc_id string, text string"), PATH)
 
 
 @given(st.lists(st.lists(st.sampled_from([*"ab'sT tre\n\tHÉe1!.,%<|endoftx> ß漢—", "\x01", "\u0301", "\u0331", "<|endoftext|>", "AB.,", "'ll"]), max_size=12).map("".join), max_size=8))

@@ -2,18 +2,21 @@
 
 A file holds the ids of a run of documents, in ascending order of their doc_id:
 
-    magic "WPFR", then little-endian uint32: version, values a block, documents, blocks; uint64: ids
-    documents: uint64 number of ids of each
-    index: uint64 start of each block in the bytes that follow
+    magic "WPFR"
     a block: uint32 minimum, uint8 width, uint16 exceptions, then ``width`` bit planes of (value - minimum), each of
     values / 8 bytes, then the exceptions' uint16 positions and uint32 values (value - minimum)
+    documents: int64 doc_id, uint8 (1: the doc_id is null) and uint64 number of ids, each as an array
+    index: uint64 place of each block in the file, and of the end of the last
+    tail: uint32 version, values a block, documents, blocks; uint64 ids; magic
 
-The width is the number of bits that ``PERCENTILE`` of a block's offsets from its minimum need; larger offsets keep
-their low bits in the planes and stand whole in the exception list. The last block is filled up with its minimum.
+All numbers are little-endian. The width is the number of bits that ``PERCENTILE`` of a block's offsets from its minimum
+need; larger offsets keep their low bits in the planes and stand whole in the exception list. The last block is filled up
+with its minimum. A writer holds one block's rest and the arrays of documents and index; a reader some blocks at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -27,10 +30,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path
+from .shared import cut, new_path, whole_ids
 from .vec import LOWER, SAME, SPACE, Words, flat, slices, spans, worker_cache, words
 
-BLOCK, PERCENTILE, MAGIC, END_ID = 256, 90, b"WPFR", 1
+BLOCK, PERCENTILE, MAGIC, VERSION, END_ID = 256, 90, b"WPFR", 2, 1
+TAIL, TAIL_BYTES = "<4IQ4s", struct.calcsize("<4IQ4s")
+#: Ids after which a file is full; the document that reaches it is its last.
+FILE_IDS = 32 << 20
+#: Ids decoded at a time, unless one document alone has more.
+READ_IDS = 1 << 20
+# What a tokenizer does before its merges if a text's ids are those of its pieces: white space only parts
+# words, letters are lower-cased, and no match goes across a letter and the punctuation after it.
+PIECEWISE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PIECEWISE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces whose ids one Python worker keeps; it starts anew beyond that.
 KEPT_PIECES = 400_000
 #: Pieces encoded in one call, with a control character's token between them.
@@ -92,25 +104,71 @@ def decode_blocks(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (x + head["low"][:, None]).reshape(-1)
 
 
-def file_bytes(counts: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
-    blocks, start = encode_blocks(ids)
-    yield MAGIC + struct.pack("<4IQ", 1, BLOCK, len(counts), len(start), len(ids))
-    yield counts.astype("<u8").tobytes()
-    yield start.astype("<u8").tobytes()
-    yield blocks
-
-
-def read_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of each document, and the ids."""
-    if raw[:4] != MAGIC:
+class FileWriter:
+    """Writes one file as its documents come."""
+
+    def __init__(self, out):
+        self.out, self.at, self.rest, self.n_ids = out, len(MAGIC), np.zeros(0, np.uint32), 0
+        self.docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.blocks: list[np.ndarray] = []
+        out.write(MAGIC)
+
+    def add(self, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.docs.append((doc_ids.astype("<i8"), nulls.astype(np.uint8), counts.astype("<u8")))
+        self.n_ids += len(ids)
+        x = np.concatenate([self.rest, ids.astype(np.uint32)])
+        whole = len(x) // BLOCK * BLOCK
+        self.put(x[:whole])
+        self.rest = x[whole:]
+
+    def put(self, ids: np.ndarray) -> None:
+        data, start = encode_blocks(ids)
+        self.out.write(data)
+        self.blocks.append(start + np.uint64(self.at))
+        self.at += len(data)
+
+    def close(self) -> int:
+        """The number of documents."""
+        self.put(self.rest)
+        columns = [np.concatenate(c) for c in zip(*self.docs)] if self.docs else [np.zeros(0, np.uint8)] * 3
+        blocks = np.append(np.concatenate(self.blocks), np.uint64(self.at))
+        for x in (*columns, blocks.astype("<u8")):
+            self.out.write(x.tobytes())
+        self.out.write(struct.pack(TAIL, VERSION, BLOCK, len(columns[0]), len(blocks) - 1, self.n_ids, MAGIC))
+        return len(columns[0])
+
+
+def read_file(f, size: int) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
+    """doc_ids, ids before them in the file, numbers of ids, and ids, of some documents of an open file at a time."""
+
+    def part(at: int, n: int) -> bytes:
+        f.seek(at)
+        return f.read(n)
+
+    tail = part(size - TAIL_BYTES, TAIL_BYTES) if size >= TAIL_BYTES else b""
+    if tail[-4:] != MAGIC:
         raise ValueError("not a token file")
-    _, block, docs, blocks, n = struct.unpack_from("<4IQ", raw, 4)
-    if block != BLOCK:
-        raise ValueError(f"blocks of {block} values")
-    counts = np.frombuffer(raw, "<u8", docs, 28).astype(np.int64)
-    start = np.frombuffer(raw, "<u8", blocks, 28 + 8 * docs)
-    data = np.frombuffer(raw, np.uint8, offset=28 + 8 * docs + 8 * blocks)
-    return counts, decode_blocks(data, start)[:n] if blocks else np.zeros(0, np.uint32)
+    version, block, n, blocks, _, _ = struct.unpack(TAIL, tail)
+    if version != VERSION or block != BLOCK:
+        raise ValueError(f"version {version}, blocks of {block} values")
+    lengths = 17 * n + 8 * (blocks + 1)
+    head = part(size - TAIL_BYTES - lengths, lengths)
+    doc_ids, nulls = np.frombuffer(head, "<i8", n), np.frombuffer(head, np.uint8, n, 8 * n)
+    counts = np.frombuffer(head, "<u8", n, 9 * n).astype(np.int64)
+    place = np.frombuffer(head, "<u8", blocks + 1, 17 * n).astype(np.int64)
+    names = pa.array(doc_ids, mask=nulls.astype(bool))
+    ends = np.cumsum(counts)
+    lo = 0
+    while lo < n:
+        start = int(ends[lo] - counts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, start + READ_IDS, "right")))
+        first, past = start // BLOCK, -(-int(ends[hi - 1]) // BLOCK)
+        ids = np.zeros(0, np.uint32)
+        if past > first:
+            data = np.frombuffer(part(int(place[first]), int(place[past] - place[first])), np.uint8)
+            ids = decode_blocks(data, place[first:past] - place[first])
+        yield names[lo:hi], start, counts[lo:hi], ids[start - first * BLOCK : int(ends[hi - 1]) - first * BLOCK]
+        lo = hi
 
 
 def pieces_of(texts: pa.Array) -> Words:
@@ -137,15 +195,16 @@ def pieces_of(texts: pa.Array) -> Words:
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece: the tokenizer drops white space and matches nothing across it, nor across a letter
-    and the punctuation after it, so a text's ids are those of its pieces, and each distinct piece is encoded once for
-    a worker."""
+    """Encodes texts piece by piece where the tokenizer drops white space and matches nothing across it, nor across a letter
+    and the punctuation after it (PIECEWISE_*): then a text's ids are those of its pieces, and each distinct piece is
+    encoded once for a worker. With any other tokenizer texts are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.piecewise = is_piecewise(json.loads(self.tokenizer.to_str()))
         found = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = found[0] if len(found) == 1 else None
         self.clear()
@@ -177,6 +236,10 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and the ids."""
+        if not self.piecewise:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return counts, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
         w = pieces_of(texts)
         data, offs = w.compact()
         both = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs), pa.py_buffer(data)).dictionary_encode()
@@ -191,83 +254,96 @@ class PieceEncoder:
         return counts, self.ids[spans(self.start[each], size)]
 
 
+def is_piecewise(tokenizer: dict) -> bool:
+    """Whether a tokenizer's definition is of the kind that PIECEWISE_* states."""
+    steps = (tokenizer.get("normalizer") or {}).get("normalizers") or []
+    first = ((tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    splits = first.get("type") == "Split" and first.get("pattern") == {"Regex": PIECEWISE_SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return splits and [x.get("type") for x in steps] == PIECEWISE_NORMALIZERS and steps[1].get("pattern") == {"Regex": r"\s+"}
+
+
 def with_end(counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.cumsum(counts)
     return counts + 1, np.insert(ids, at, np.uint32(end_id))
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Encode every text, append ``end_id``, write files under ``folder`` in ascending ``id_col`` (nulls first).
 
-    Returns the manifest, materialised: part (in order), name, n_docs, n_ids, doc_ids; block starts and the
-    documents' numbers of ids are in the files. A task writes under a name of its own and the manifest lists only what finished tasks wrote, so a repeated
-    or killed task leaves at most an unlisted file. Memory of a task: the ids of its partition, 4 bytes each.
-    Null and empty texts have the end id alone; rows that share an id stand side by side; an empty table writes no file.
+    Returns the manifest, materialised: part and file (in order), name, n_docs, n_ids; documents and block starts are in
+    the files. A task begins a new file at ``file_ids`` ids, so files and what a task holds do not grow with its
+    partition. It writes under names of its own and the manifest lists only what finished tasks wrote, so a repeated or
+    killed task leaves at most unlisted files.
+
+    Ids are whole numbers (TypeError otherwise). Null and empty texts have the end id alone; rows that share an id, null
+    among them, stand side by side in the order of reading; an empty table writes no file. Other columns of ``docs`` are
+    not read, whatever their names.
     """
+    whole_ids(docs, id_col)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("tie"))
     keys = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
         encoder = cache.get(tokenizer_path) or cache.setdefault(tokenizer_path, PieceEncoder(tokenizer_path))
-        ids, counts, all_ids = [], [], []
+        part = TaskContext.get().partitionId()
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        writer, name, number = None, "", 0
+
+        def closed() -> pa.RecordBatch:
+            n_docs = writer.close()
+            writer.out.close()
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([name]), pa.array([n_docs]), pa.array([writer.n_ids])], names=["part", "file", "name", "n_docs", "n_ids"])
+
         for b in batches:
-            text = b.column(1)
-            for lo, hi in slices(text):
-                n, x = with_end(*encoder.encode(text[lo:hi]), end_id)
-                counts.append(n)
-                all_ids.append(x.astype(np.uint32))
-            ids.extend(b.column(0).to_pylist())
-        if ids:
-            part = TaskContext.get().partitionId()
-            fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-            fs.create_dir(root, recursive=True)
-            name = f"part-{part:06d}-{uuid.uuid4().hex}.wpfr"
-            n, x = np.concatenate(counts), np.concatenate(all_ids)
-            with fs.open_output_stream(f"{root}/{name}") as out:
-                for chunk in file_bytes(n, x):
-                    out.write(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(n)]), pa.array([len(x)]), pa.array([ids], pa.list_(pa.int64()))], names=["part", "name", "n_docs", "n_ids", "doc_ids"])
+            doc_ids, nulls = b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False)
+            for lo, hi in slices(b.column(1)):
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    name = f"part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.wpfr"
+                    writer = FileWriter(fs.open_output_stream(f"{root}/{name}"))
+                writer.add(doc_ids[lo:hi], nulls[lo:hi], *with_end(*encoder.encode(b.column(1)[lo:hi]), end_id))
+                if writer.n_ids >= file_ids:
+                    yield closed()
+                    writer, number = None, number + 1
+        if writer is not None:
+            yield closed()
 
     ranged = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie")
-    return cut(ranged.mapInArrow(run, "part long, name string, n_docs long, n_ids long, doc_ids array<long>"), "tokens-manifest")
+    return cut(ranged.mapInArrow(run, "part long, file long, name string, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def read_tokens(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, ids.
+    """Per document, from the files alone: doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, ids.
 
-    Only one pair of totals for each file reaches the driver.
+    Only a row of totals for each file reaches the driver. An empty manifest gives no rows.
     """
     before, starts = 0, []
-    for part, n in sorted((r[0], r[1]) for r in manifest.select("part", "n_ids").collect()):
-        starts.append((part, before))
+    for name, n in ((r["name"], r["n_ids"]) for r in sorted(manifest.select("part", "file", "name", "n_ids").collect())):
+        starts.append((name, before))
         before += n
     spark: SparkSession = manifest.sparkSession
-    table = spark.createDataFrame(starts, "part long, before long")
-    files = manifest.join(F.broadcast(table), "part").select("name", "before", "doc_ids").repartition(max(1, len(starts)))
+    files = spark.createDataFrame(starts, "name string, before long").repartition(max(1, len(starts)), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         for b in batches:
-            for row in range(b.num_rows):
-                with fs.open_input_stream(f"{root}/{b.column(0)[row].as_py()}") as f:
-                    counts, ids = read_file(f.read())
-                ends = np.cumsum(counts)
-                start = ends - counts
-                at = ids.astype("<u4")
-                for lo in range(0, len(counts), 1000):
-                    hi = min(lo + 1000, len(counts))
-                    crcs = [zlib.crc32(at[s:e]) for s, e in zip(start[lo:hi].tolist(), ends[lo:hi].tolist())]
-                    out = {"doc_id": b.column(2)[row].values[lo:hi], "start": pa.array(b.column(1)[row].as_py() + start[lo:hi]), "n_tokens": pa.array(counts[lo:hi]), "ids_crc32": pa.array(crcs, pa.int64())}
-                    if with_ids:
-                        offs = pa.array(np.append(start[lo:hi], ends[hi - 1]) - start[lo], pa.int32())
-                        out["ids"] = pa.ListArray.from_arrays(offs, pa.array(ids[start[lo] : ends[hi - 1]].astype(np.int32)))
-                    yield pa.RecordBatch.from_pydict(out)
+            for name, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    for doc_ids, start, counts, ids in read_file(f, f.size()):
+                        ends = np.cumsum(counts)
+                        at = ids.astype("<u4")
+                        crcs = [zlib.crc32(at[s:e]) for s, e in zip((ends - counts).tolist(), ends.tolist())]
+                        out = {"doc_id": doc_ids, "start": pa.array(before + start + ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crcs, pa.int64())}
+                        if with_ids:
+                            out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
+                        yield pa.RecordBatch.from_pydict(out)
 
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, **options) -> DataFrame:
-    """Write ``docs`` as token files in the shared folder and read them back."""
+    """Write ``docs`` as token files in the shared folder and read them back; results as ``write_tokens`` and
+    ``read_tokens`` state them."""
     folder = new_path(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, tokenizer_path, folder, **options), folder, with_ids)
