@@ -69,3 +69,17 @@ def test_documents_are_removed(spark, no_docs):
     assert decontamination.decontaminate(no_docs, bench).count() == 0
     with pytest.raises(ValueError):
         decontamination.decontaminate(docs, bench, remove="words")
+
+
+def test_a_set_is_small(spark):
+    import random
+
+    rng = random.Random(1)
+    items = [(str(i), " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 60)))) for i in range(3000)]
+    items += [(f"hot{i}", "one passage that stands in very many items of the benchmark at once") for i in range(500)]
+    built = decontamination.WindowSet(items, 10)
+    assert built.nbytes() < 13 * sum(len(t) for _, t in items) + (10 << 20)
+    docs = [(0, items[7][1] + " x"), (1, items[-1][1])]
+    out = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), set_bytes=20_000)
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out.collect())
+    assert got == brute(docs, items) and len(got[1][3]) == 500

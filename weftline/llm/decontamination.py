@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,89 +10,124 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import plain
-from .vec import LOWER, NOT_ALNUM, slices, windows, words
+from .shared import cut, plain
+from .vec import LOWER, NOT_ALNUM, Words, mix, slices, windows, words
 
 WINDOW = 10
 #: Benchmark text in one broadcast, in bytes. A larger benchmark is worked off in several sets, one after the other.
 SET_BYTES = 16 << 20
-HITS = "__hits"
+#: A word of a set is 24 bytes in its arrays and takes two bytes of text at least, so a set is this many times its text
+#: at most, beside a table of 1 MB for each window length.
+MOST_PER_BYTE = 13
+RUNS, ITEMS = "__runs", "__items"
 
 
 class WindowSet:
-    """Normalised windows of benchmark items, by window length: sorted hashes, their words, and the items that hold them."""
+    """Normalised windows of benchmark items, by window length: hashes in order, each with its window's first word; and the
+    words of all items as flat arrays."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        texts = pa.array([t for _, t in items], pa.string())
-        w = words(texts, NOT_ALNUM, LOWER)
+        w = words(pa.array([t for _, t in items], pa.string()), NOT_ALNUM, LOWER)
+        self.names = [name for name, _ in items]
+        self.low, self.start, self.end, self.doc = w.low, w.start.astype(np.int32), w.end.astype(np.int32), w.doc.astype(np.int32)
         hashes = w.hashes()
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for size in {min(int(n), window) for n in w.n if n}:
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(int(n), window) for n in w.n if n}):
             rows, at = windows(hashes, w.doc, size)
+            other, _ = windows(mix(hashes), w.doc, size)
             keep = (w.n[w.doc[at]] == size) | (size == window)
-            for h, i in zip(rows[keep].tolist(), at[keep].tolist()):
-                found[size][h][tuple(w.word(j) for j in range(i, i + size))].add(items[w.doc[i]][0])
-        self.by_size = {}
-        for size, by_hash in found.items():
-            keys = np.array(sorted(by_hash), np.uint64)
+            rows, at, other = rows[keep], at[keep], other[keep]
+            order = np.lexsort((other, w.doc[at], rows))
+            rows, at, other = rows[order], at[order], other[order]
+            new = np.ones(len(rows), bool)  # a window that an item repeats stands once for it
+            new[1:] = (rows[1:] != rows[:-1]) | (other[1:] != other[:-1]) | (w.doc[at[1:]] != w.doc[at[:-1]])
             mask = np.zeros(1 << 20, bool)
-            mask[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.by_size[size] = (keys, mask, {h: [(k, sorted(v)) for k, v in x.items()] for h, x in by_hash.items()})
+            mask[(rows >> np.uint64(44)).astype(np.int64)] = True
+            self.by_size[size] = rows[new], at[new].astype(np.int32), mask
 
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.low, self.start, self.end, self.doc)) + sum(x.nbytes for arrays in self.by_size.values() for x in arrays)
 
-def scan(texts: pa.Array, sets: WindowSet) -> tuple[np.ndarray, list[list[tuple[int, int, list[str]]]]]:
-    """Number of words of each text, and its verified hits: first word, word past the last, items."""
+    def same(self, at: int, w: Words, i: int, size: int) -> bool:
+        """Whether the window at the set's word ``at`` has the words of ``w`` from ``i`` on."""
+        return all(self.low[self.start[at + k] : self.end[at + k]].tobytes() == w.word(i + k) for k in range(size))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans (first, past) as runs in order, overlapping and touching ones as one."""
+    runs: list[list[int]] = []
+    for s, e in sorted(spans):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    return runs
+
+
+def scan(texts: pa.Array, sets: WindowSet) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
+    """Number of words of each text; and of texts with verified hits their spans (first word, word past the last) and items."""
     w = words(texts, NOT_ALNUM, LOWER)
     hashes, first = w.hashes(), np.cumsum(w.n) - w.n
-    hits: list[list[tuple[int, int, list[str]]]] = [[] for _ in range(len(texts))]
-    for size, (keys, mask, table) in sets.by_size.items():
+    spans: dict[int, list[tuple[int, int]]] = {}
+    items: dict[int, set[str]] = {}
+    for size, (keys, at_word, mask) in sets.by_size.items():
         rows, at = windows(hashes, w.doc, size)
         maybe = np.flatnonzero(mask[(rows >> np.uint64(44)).astype(np.int64)])
-        maybe = maybe[keys[np.minimum(np.searchsorted(keys, rows[maybe]), len(keys) - 1)] == rows[maybe]]
-        for h, i in zip(rows[maybe].tolist(), at[maybe].tolist()):
-            own = tuple(w.word(j) for j in range(i, i + size))
-            for tokens, items in table[h]:
-                if tokens == own:
-                    d = int(w.doc[i])
-                    hits[d].append((i - int(first[d]), i - int(first[d]) + size, items))
-    return w.n, hits
+        lo, hi = (np.searchsorted(keys, rows[maybe], side) for side in ("left", "right"))
+        for i, a, z in zip(at[maybe].tolist(), lo.tolist(), hi.tolist()):
+            own = [sets.names[sets.doc[at_word[j]]] for j in range(a, z) if sets.same(int(at_word[j]), w, i, size)]
+            if own:
+                d = int(w.doc[i])
+                spans.setdefault(d, []).append((i - int(first[d]), i - int(first[d]) + size))
+                items.setdefault(d, set()).update(own)
+    return w.n, spans, items
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", set_bytes: int = SET_BYTES, then=None) -> DataFrame:
-    """``docs`` with ``n_words`` and ``__hits``: array of (first word, word past the last, items).
+    """``docs`` with ``n_words``, ``__runs`` (hit words, as arrays of first and past) and ``__items`` (ids of the items hit).
 
-    The benchmark's size is summed before anything is broadcast. Up to ``set_bytes`` of text make one set; a larger
-    benchmark is dealt by item into several sets, which are broadcast and scanned for one after the other with all
-    hits kept, so results do not depend on the number of sets. ``then``: from the result's schema, a schema and a function
-    over its batches, which runs in the same Python pass as the last set.
+    The benchmark's size is summed before anything is broadcast. Up to ``set_bytes`` of text make one set, whose own size
+    is checked again once it is built; a larger benchmark is dealt by item into several sets, each of which is a stage of
+    its own with a written table in between, so tasks hold one set at a time. All hits are kept, so results do not depend
+    on the number of sets. ``then``: from the result's schema, a schema and a function over its batches, which runs in the
+    same Python pass as the last set.
     """
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_sets = 1 + int(size) // set_bytes
-    out = plain(docs, "n_words", HITS)
-    fields = [*out.schema.fields, T.StructField("n_words", T.LongType(), False), T.StructField(HITS, T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])), False)]
+    out = plain(docs, "n_words", RUNS, ITEMS)
+    pair = T.ArrayType(T.ArrayType(T.LongType()))
+    fields = [*out.schema.fields, T.StructField("n_words", T.LongType(), False), T.StructField(RUNS, pair, False), T.StructField(ITEMS, T.ArrayType(T.StringType()), False)]
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    kind = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64()), ("items", pa.list_(pa.string()))]))
     for k in range(n_sets):
         part = items if n_sets == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_sets)) == k)
-        shared = docs.sparkSession.sparkContext.broadcast(WindowSet([(r["i"], r["t"]) for r in part.collect()], window))
+        built = WindowSet([(r["i"], r["t"]) for r in part.collect()], window)
+        text = len(built.low)
+        if built.nbytes() > MOST_PER_BYTE * text + (window << 20) + 1024:
+            raise ValueError(f"a window set of {built.nbytes()} bytes for {text} bytes of text")
+        shared = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 text = b.column(b.schema.get_field_index(text_col))
                 for lo, hi in slices(text):
-                    n, hits = scan(text[lo:hi], shared.value)
+                    n, spans, named = scan(text[lo:hi], shared.value)
                     rows = b.slice(lo, hi - lo)
-                    if HITS in rows.schema.names:
-                        hits = [[*(tuple(x.values()) for x in old), *new] for old, new in zip(rows.column(rows.schema.get_field_index(HITS)).to_pylist(), hits)]
-                        rows = rows.select([c for c in rows.schema.names if c not in ("n_words", HITS)])
-                    found = pa.array([[{"first": s, "past": e, "items": i} for s, e, i in x] for x in hits], kind)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n, pa.int64()), found], names=[*rows.schema.names, "n_words", HITS])
-
-        if then is not None and k == n_sets - 1:
+                    if RUNS in rows.schema.names:
+                        for d, old in enumerate(rows.column(rows.schema.get_field_index(RUNS)).to_pylist()):
+                            if old:
+                                spans.setdefault(d, []).extend(map(tuple, old))
+                                named.setdefault(d, set()).update(rows.column(rows.schema.get_field_index(ITEMS))[d].as_py())
+                        rows = rows.select([c for c in rows.schema.names if c not in ("n_words", RUNS, ITEMS)])
+                    runs = pa.array([merged(spans.get(d, [])) for d in range(hi - lo)], pa.list_(pa.list_(pa.int64())))
+                    who = pa.array([sorted(named.get(d, ())) for d in range(hi - lo)], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n, pa.int64()), runs, who], names=[*rows.schema.names, "n_words", RUNS, ITEMS])
+
+        if k == n_sets - 1 and then is not None:
             schema, last = then(T.StructType(fields))
             out = out.mapInArrow(lambda batches, run=run: last(run(batches)), schema)
         else:
             out = out.mapInArrow(run, T.StructType(fields))
+            out = out if k == n_sets - 1 else cut(out, "window-hits")
     return out
 
 
@@ -111,23 +145,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     if remove not in ("spans", "documents"):
         raise ValueError("remove must be 'spans' or 'documents'")
     docs = plain(docs, "n_hit", "items", "contaminated", "clean_text")
-    names = [*plain(docs, "n_words", HITS).columns, "n_words", "n_hit", "items", "contaminated", "clean_text"]
+    names = [*plain(docs, "n_words", RUNS, ITEMS).columns, "n_words", "n_hit", "items", "contaminated", "clean_text"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_hit, items, clean = [], [], []
-            for hits, text in zip(b.column(b.schema.get_field_index(HITS)).to_pylist(), b.column(b.schema.get_field_index(text_col))):
-                runs: list[list[int]] = []
-                for x in sorted(hits, key=lambda x: x["first"]):
-                    if runs and x["first"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x["past"])
-                    else:
-                        runs.append([x["first"], x["past"]])
+            n_hit, clean = [], []
+            for runs, text in zip(b.column(b.schema.get_field_index(RUNS)).to_pylist(), b.column(b.schema.get_field_index(text_col))):
                 n_hit.append(sum(e - s for s, e in runs))
-                items.append(sorted({i for x in hits for i in x["items"]}))
                 clean.append(text.as_py() if not runs else None if remove == "documents" else without(text.as_py(), runs))
             keep = [b.column(b.schema.get_field_index(c)) for c in names[:-4]]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(clean, pa.string())], names=names)
+            items = b.column(b.schema.get_field_index(ITEMS))
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(n_hit, pa.int64()), items, pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(clean, pa.string())], names=names)
 
     def then(found: T.StructType):
         new = [T.StructField("n_hit", T.LongType(), False), T.StructField("items", T.ArrayType(T.StringType()), False), T.StructField("contaminated", T.BooleanType(), False), T.StructField("clean_text", T.StringType())]
