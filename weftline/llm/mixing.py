@@ -34,7 +34,7 @@ def water_fill(sizes: list[int], weights: list[int], total: int, max_epochs: int
         clamped |= over
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> DataFrame:
     """``docs`` with ``size`` (words), ``source_size``, ``target`` and ``copies`` (0 to max_epochs): how often the mix takes each row.
 
     Sources, ordered by code point with null as the last, weigh ``weights`` in turn, and share 100 % of all words.
@@ -46,11 +46,12 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
 
     Rows that share source and id are taken alike, apart from the row at the cut. Null texts have no words and are
     taken as their source's whole repetitions say. An empty table, or one without a word, takes nothing.
-    Input columns named as an output column are replaced.
+    ``size_col``: a column that has the words of each text already, which then is not read. Input columns named as an
+    output column are replaced.
     """
-    docs = plain(docs, "size", "source_size", "target", "copies")
+    sized = docs.withColumn("size", F.col(size_col).cast("long") if size_col else n_words(F.col(text_col)))
+    sized = plain(sized, "source_size", "target", "copies")
     source, key = F.col(source_col), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.withColumn("size", n_words(F.col(text_col)))
     narrow = cut(sized.select(source.cast("string").alias("source"), key.alias("key"), "size"), "mix")
     totals = narrow.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
     if (found := totals.count()) > 1_000_000:

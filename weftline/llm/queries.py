@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, lm_scoring, mixing, ngram_jaccard, oracles, quality_rules, secret_scan, sharding, substring_dedup, token_output
-from .shared import crc32_of_id, read as read_table, small_batches
+from .shared import crc32_of_id, cut, read as read_table, small_batches
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,7 +42,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.copies(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    narrow = cut(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
+    out = mixing.copies(narrow, size_col="size")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
