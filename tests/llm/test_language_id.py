@@ -1,8 +1,11 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id, queries
@@ -47,14 +50,54 @@ def test_false_positives_are_corrected():
     for at in language_id.cells(known, len(masks)):
         masks[at] |= 1
     masks[rng.random(len(masks)) < 0.5] |= 2  # a crowded slice
-    model = language_id.Model(["a", "b"], masks)
+    model = language_id.Model(["a", "b"], masks[None])
     assert abs(model.false_positive()[1] - 0.25) < 0.05
     texts = pa.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 4000))])
     g, _ = language_id.grams(texts)
-    found = np.full(len(g), 255, np.uint8)
-    for at in language_id.cells(g, len(masks)):
-        found &= masks[at]
-    assert abs(((found >> 1) & 1).mean() - model.false_positive()[1]) < 0.05
+    assert abs(model.bit(model.found(g), 1).mean() - model.false_positive()[1]) < 0.05
+
+
+def brute(rows, texts):
+    """Languages of texts by n-gram sets instead of filters, all rows learnt from: what the filters come near to."""
+    fold = lambda t: bytes(language_id.FOLD[b] for b in t.encode())
+    grams = lambda t: [x[i : i + 4] for x in [fold(t)] for i in range(len(x) - 3) if x[i : i + 2] != b"  "]
+    count = {}
+    for t, lang in rows:
+        count.setdefault(lang, Counter()).update(grams(t))
+    total = {x: sum(n.values()) for x, n in count.items()}
+    known = {x: {g for g, n in c.items() if n >= language_id.LEAST and n / total[x] >= language_id.SHARE * sum(count[y][g] / total[y] for y in count)} for x, c in count.items()}
+    order = sorted(count, key=lambda x: (-sum(y == x for _, y in rows), x))
+    out = []
+    for t in texts:
+        hits = {x: sum(g in known[x] for g in grams(t)) for x in order}
+        best = max(order, key=lambda x: (hits[x], -order.index(x)))
+        out.append((best, hits[best] / max(1, sum(hits.values()))))
+    return out
+
+
+def test_filters_come_near_to_sets_with_many_languages(spark):
+    """70 languages, which take two slices of masks."""
+    rng = random.Random(2)
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(30)] for k in range(70)}
+    rows = [(" ".join(rng.choices(w, k=40)), lang) for lang, w in words.items() for _ in range(4 + int(lang[1:]) % 3)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.langs) == 70 and model.masks.shape[0] == 2
+    asked = [" ".join(rng.choices(w, k=15)) for w in words.values()]
+    got = model.predict(pa.array(asked))
+    want = brute(rows, asked)
+    assert got[0] == [w[0] for w in want] == sorted(words)
+    assert all(abs(a - b[1]) < 0.02 for a, b in zip(got[1], want))
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """Null ids, or one text in all rows, weigh no more than others."""
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("word "), F.col("id"))).otherwise("alas").alias("text"), F.lit("en").alias("lang"))
+    model = language_id.fit(docs, sample_rows=200)
+    assert model.langs == ["en"] and model.masks.shape[1] == 1 << 16  # 10,000 words would need more cells
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit(docs.select("text", F.col("text").alias("lang")))
 
 
 def test_grams_stay_within_texts():

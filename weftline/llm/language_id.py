@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import plain
+from .shared import cut, plain
 from .vec import flat, mix, slices
 
 #: N-grams are of so many bytes of UTF-8. ASCII letters are lower-cased; runs of other ASCII characters count as spaces.
 GRAM = 4
-#: Labelled rows from which each language is learnt, about; more than that are sampled by a hash of their id.
+#: Labelled rows from which each language is learnt, about; of more than that, so many are drawn at random.
 SAMPLE_ROWS = 3000
+#: Labels that a model may have: a name each reaches the driver, and a cell has a bit for each. There are some 7,900 languages.
+MOST_LANGS = 8192
 #: A language contains an n-gram that occurs twice at least there and as often, relatively, as this part of its sum over languages.
 SHARE, LEAST = 0.3, 2
-HASHES, CELLS_PER_GRAM = 2, 16
+HASHES, CELLS_PER_GRAM, SEED = 2, 16, 17
 FOLD = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)], np.uint8)
 HAS_LETTER = r"\pL"
 
@@ -50,25 +52,34 @@ def cells(g: np.ndarray, size: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """langs: by falling number of training rows. masks: for each cell, bit l tells whether language l set it."""
+    """langs: by falling number of training rows. masks: of each cell, in slices of as many languages as the type has bits:
+    bit l of slice w tells whether language w * bits + l set the cell."""
 
     langs: list[str]
     masks: np.ndarray
 
+    def bit(self, words: np.ndarray, lang: int) -> np.ndarray:
+        """Of masks, or of what n-grams have in common with them, by slices: whether the language's bit is set."""
+        kind = words.dtype.type
+        return (words[lang // np.iinfo(kind).bits] >> kind(lang % np.iinfo(kind).bits)) & kind(1)
+
     def false_positive(self) -> np.ndarray:
         """Per language: the part of n-grams outside it whose cells are all set."""
-        return np.array([np.mean((self.masks >> np.uint64(i) if self.masks.dtype == np.uint64 else self.masks >> i) & self.masks.dtype.type(1)) ** HASHES for i in range(len(self.langs))])
+        return np.array([np.mean(self.bit(self.masks, i)) ** HASHES for i in range(len(self.langs))])
+
+    def found(self, g: np.ndarray) -> np.ndarray:
+        """The languages of each n-gram, by slices."""
+        out = np.full((len(self.masks), len(g)), np.iinfo(self.masks.dtype).max, self.masks.dtype)
+        for at in cells(g, self.masks.shape[1]):
+            out &= self.masks[:, at]
+        return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         g, doc = grams(texts)
-        found = np.full(len(g), np.iinfo(self.masks.dtype).max, self.masks.dtype)
-        for at in cells(g, len(self.masks)):
-            found &= self.masks[at]
+        found = self.found(g)
         n = np.bincount(doc, minlength=len(texts))
         rate = self.false_positive()
-        hits = np.zeros((len(texts), len(self.langs)))
-        for i in range(len(self.langs)):
-            hits[:, i] = np.bincount(doc, (found >> found.dtype.type(i)) & found.dtype.type(1), len(texts))
+        hits = np.stack([np.bincount(doc, self.bit(found, i), len(texts)) for i in range(len(self.langs))], 1)
         true = np.maximum(0, (hits - n[:, None] * rate) / np.maximum(1e-9, 1 - rate))
         best = true.argmax(1)
         total = true.sum(1)
@@ -77,19 +88,23 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, score, 0.0).tolist()
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows with a text and a label. ``sample_rows`` bounds what each language is learnt from, in the mean
-    over hashes of ids; n-gram counts of that sample meet in a shuffle, and only n-grams that a language contains reach
-    the driver. Up to 64 languages."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = sorted(((r[0], r[1]) for r in rows.groupBy("lang").count().limit(65).collect()), key=lambda x: (-x[1], x[0]))
-    if len(counts) > 64:
-        raise ValueError("more than 64 languages")
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from rows with a text and a label.
+
+    ``sample_rows`` bounds what each language is learnt from, in the mean over seeded draws of rows; n-gram counts of that
+    sample meet in a shuffle, and only n-grams that a language contains reach the driver. Rows with a null text or label
+    teach nothing; repeated rows count each; of languages with equally many rows the smaller name comes first. Without a
+    labelled row the one language is ``und``. ValueError above MOST_LANGS labels. Other columns are not read.
+    """
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = sorted(((r[0], r[1]) for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()), key=lambda x: (-x[1], x[0]))
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} labels")
     langs = [x for x, _ in counts]
     if not langs:
-        return Model(["und"], np.zeros(16, np.uint8))
+        return Model(["und"], np.zeros((1, 16), np.uint8))
     part = F.create_map(*(F.lit(v) for lang, n in counts for v in (lang, min(1.0, sample_rows / n))))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000)
+    sample = rows.where(F.rand(SEED) < part[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,7 +115,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_
                     g, n = np.unique(grams(own[lo:hi])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array([name] * len(g), pa.string()), pa.array(n, pa.int64())], names=["g", "lang", "n"])
 
-    found = sample.select("text", "lang").mapInArrow(count, "g long, lang string, n long").groupBy("g", "lang").agg(F.sum("n").alias("n"))
+    found = cut(sample.select("text", "lang").mapInArrow(count, "g long, lang string, n long").groupBy("g", "lang").agg(F.sum("n").alias("n")), "lang-grams")
     totals = {r[0]: r[1] for r in found.groupBy("lang").agg(F.sum("n")).collect()}
     each = F.create_map(*(F.lit(v) for lang in langs for v in (lang, float(totals.get(lang, 1)))))
     share = found.withColumn("p", F.col("n") / each[F.col("lang")])
@@ -110,10 +125,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_
     table = kept.select("g", bit[F.col("lang")].alias("bit")).toArrow()
     g, bits = table.column("g").to_numpy().astype(np.uint32), table.column("bit").to_numpy().astype(np.int64)
     size = 1 << max(16, int(np.ceil(np.log2(max(1, len(g)) * CELLS_PER_GRAM))))
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(langs))
-    masks = np.zeros(size, kind)
+    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if np.iinfo(t).bits >= len(langs)), np.uint64)
+    width = np.iinfo(kind).bits
+    masks = np.zeros((-(-len(langs) // width), size), kind)
     for at in cells(g, size):
-        np.bitwise_or.at(masks, at, np.left_shift(kind(1), bits.astype(kind)))
+        np.bitwise_or.at(masks, (bits // width, at), np.left_shift(kind(1), (bits % width).astype(kind)))
     return Model(langs, masks)
 
 
@@ -126,7 +142,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     docs = plain(docs, "lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS_PER_GRAM bytes for each n-gram of the bounded sample
+    # CELLS_PER_GRAM cells for each n-gram of the bounded sample, each of a bit a language.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
