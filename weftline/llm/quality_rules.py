@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import plain
+from .shared import plain, some_rows
 
 WINDOW, SAMPLE_ROWS = 5, 2000
 WHITE = "\t\n\x0b\x0c\r "
@@ -84,7 +84,9 @@ def _covered(placed: Column) -> Column:
 
 
 def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; a null text counts as empty."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, of each text as a whole. A null text
+    counts as empty and has none of anything; repeated rows are treated alike; an empty table gives an empty table; input
+    columns named as an output column are replaced."""
     text, words = F.col(text_col), F.col("__words")
     docs = plain(docs, *FIGURES).withColumns({"__words": word_list(text), "__lines": lines(text)})
     docs = docs.withColumn("__hashes", window_hashes(words))
@@ -136,17 +138,17 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[tuple[Rule, float, float]]:
-    """Each rule's seconds a row and rejected part on a sample of ``sample_rows`` rows about, drawn from all of the
-    table by a hash. It only sets the order; every rule judges every row that earlier rules left."""
+def measure(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS, text_col: str = "text", known: bool = False) -> list[tuple[Rule, float, float]]:
+    """Each rule's seconds a row and rejected part on about ``sample_rows`` rows, twice as many at most, drawn at random
+    from all of the table. It only sets the order; every rule judges every row that earlier rules left. ``known``: rules
+    are to run where FIGURES stand ready, and their cost is measured so."""
     text = F.col(text_col)
-    n = docs.count()
-    part = min(1.0, sample_rows / n) if n else 1.0
-    sample = docs.select(text_col).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(part * 1_000_000)).persist()
+    sample = some_rows(docs.select(text_col), sample_rows, docs.count())
+    sample = (figures(sample, text_col) if known else sample.withColumn("__words", word_list(text))).persist()
     try:
         rows = max(1, sample.count())
-        facts = Facts(text, word_list(text), {})
-        empty = _seconds(sample, facts["n_words"] < 0)[0]  # the words, which all rules share
+        facts = known_facts(text_col) if known else Facts(text, F.col("__words"), {})
+        empty = min(_seconds(sample, F.lit(False))[0] for _ in range(2))
         out = []
         for rule in rules:
             took, rejected = min(_seconds(sample, rule.rejects(facts)) for _ in range(2))
@@ -156,6 +158,11 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_
         sample.unpersist()
 
 
+def known_facts(text_col: str = "text") -> Facts:
+    """Facts of rows that have FIGURES already; only what is not among them is computed from the text."""
+    return Facts(F.col(text_col), F.array().cast("array<string>"), {c: F.col(c) for c in FIGURES})
+
+
 def _seconds(sample: DataFrame, condition: Column) -> tuple[float, int]:
     began = time.perf_counter()
     found = sample.select(F.count_if(condition)).first()[0]
@@ -188,3 +195,18 @@ def with_verdict(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     order = ordered(measure(docs, rules, sample_rows, text_col))
     worded = docs.withColumn("__words", word_list(F.col(text_col)))
     return worded.withColumn("kept", passes(order, Facts(F.col(text_col), F.col("__words"), {}))).drop("__words")
+
+
+def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES[2:], sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
+    """``docs`` with FIGURES, ``base_failed`` (the two base rules) and ``kept``: false where a base rule or any of ``rules``
+    rejects the text.
+
+    The figures are part of the result for every row, so the cascade has only the rest to save: base rules come first, as
+    they cost nothing any more, and ``rules`` follow in the order of rejection per cost, both measured with the figures at
+    hand. Nulls, empties, repeats and empty tables as in ``with_verdict``; input columns named as an output column are
+    replaced.
+    """
+    docs = plain(docs, *FIGURES, "base_failed", "kept")
+    order = ordered(measure(docs, rules, sample_rows, text_col, known=True))
+    out = figures(docs, text_col).withColumn("base_failed", base_fails(F.col("n_words"), F.col("n_repeat_words")))
+    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(passes(order, known_facts(text_col))))

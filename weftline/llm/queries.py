@@ -56,12 +56,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = [r for r in quality_rules.RULES if r.name not in ("few_words", "repeated_windows")]
-    order = quality_rules.ordered(quality_rules.measure(docs, tuple(rules)))
-    out = quality_rules.figures(docs).withColumn("base_failed", quality_rules.base_fails(F.col("n_words"), F.col("n_repeat_words")))
-    # The base rules' figures are part of the result, so their verdict stands before the cascade of the others.
-    kept = F.when(F.col("base_failed"), False).otherwise(quality_rules.passes(order, quality_rules.Facts(F.col("text"), F.array().cast("array<string>"), {c: F.col(c) for c in quality_rules.FIGURES})))
-    return out.select("doc_id", *quality_rules.FIGURES, "base_failed", kept.alias("kept"))
+    return quality_rules.report(docs).select("doc_id", *quality_rules.FIGURES, "base_failed", "kept")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
