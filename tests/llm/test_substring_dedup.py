@@ -2,19 +2,41 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import queries, substring_dedup
 
 
 def sentence_lists(texts):
-    """Each text as [(words, end of the words' place)], by the operator's own bounds but hashing no run."""
-    w, first, past, _ = substring_dedup.sentences(pa.array(texts, pa.string()))
-    out = [[] for _ in texts]
-    for a, b in zip(first, past):
-        out[w.doc[a]].append(tuple(w.word(i) for i in range(a, b)))
+    """Each text as lists of words, by the rules of bounds in plain Python; only the hashes of word pairs are the operator's."""
+    out = []
+    for text in texts:
+        raw = text.encode()
+        found = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw))
+        low = [m[0].translate(bytes(substring_dedup.LOWER)) for m in found]
+        if not found:
+            out.append([])
+            continue
+        stop = [bool(re.search(rb"[.!?][\"')\]]?$", w)) or (i + 1 < len(found) and b"\n" in raw[found[i].end() : found[i + 1].start()]) for i, w in enumerate(low)]
+        ends = [i for i, s in enumerate(stop) if s and not any(stop[max(0, i - substring_dedup.CLOSE) : i])]
+        if not ends or ends[-1] != len(low) - 1:
+            ends.append(len(low) - 1)
+        h = [int(x) for x in substring_dedup.words(pa.array([text])).hashes()]
+        pair = [int(substring_dedup.mix(np.array([(a * 3 + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        smallest = set()
+        for i in range(len(pair) - substring_dedup.SPLIT + 1):
+            smallest.add(max((k for k in range(i, i + substring_dedup.SPLIT) if pair[k] == min(pair[i : i + substring_dedup.SPLIT]))))
+        own, start = [], 0
+        for e in ends:
+            cuts = [k for k in range(start, e) if k in smallest] if e + 1 - start > substring_dedup.LONG else []
+            for c in (*cuts, e):
+                own.append(tuple(low[start : c + 1]))
+                start = c + 1
+        out.append(own)
     return out
 
 
@@ -85,6 +107,12 @@ def test_edges(spark, edge_docs, no_docs):
     assert [r["n_sentences_removed"] > 0 for r in by[5]] == [False, False] and by[5][0]["clean_text"] == by[5][0]["text"]
     assert by[6][0]["clean_text"] == "" and by[1][0]["clean_text"] is None and by[2][0]["clean_text"] == ""
     assert sorted(r["clean_text"] or "" for r in by[None]) == ["", ""]  # null ids come last
+    same = "One two three four five. Six seven eight nine. Ten eleven twelve thirteen. "
+    alone = substring_dedup.dedup(spark.createDataFrame([(None, f"{same}first"), (None, f"{same}second"), (None, f"{same}second")], "doc_id long, text string")).collect()
+    kept = {r["clean_text"] for r in alone if r["n_sentences_removed"] == 0}
+    assert len(kept) == 1 and {r["clean_text"] for r in alone if r["n_sentences_removed"]} in ({"first"}, {"second"})
+    with pytest.raises(TypeError, match="doc_id"):
+        substring_dedup.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
     assert substring_dedup.dedup(no_docs).collect() == []
     twice = "One two three four five. Six seven eight nine. Ten eleven twelve thirteen. "
     only = substring_dedup.dedup(spark.createDataFrame([(1, twice + twice + "end")], "doc_id long, text string")).collect()[0]

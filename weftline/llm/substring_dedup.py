@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, plain
+from .shared import cut, plain, whole_ids
 from .vec import LOWER, SPACE, Words, flat, mix, powers, slices, spans, words
 
 #: Sentences in a run. One with fewer words than LEAST_WORDS takes in further sentences until it has as many.
@@ -24,7 +24,8 @@ CLOSE = 3
 LONG, SPLIT = 16, 8
 STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 CLOSERS = np.isin(np.arange(256), np.frombuffer(b"\"')]", np.uint8))
-NO_ID = (1 << 63) - 1
+#: From here on stand rows with a null id, in the order of a hash of their texts; other ids are below.
+NO_ID = 1 << 62
 
 
 def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,14 +96,20 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return key, doc, at - begin[doc], to - at, again
 
 
+def placed_id(id_col: str, text_col: str):
+    """The id, or after all ids a place by the text, so equal passages of different texts without ids are told apart."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, __runs): for each text with something to remove, its non-first runs, as first sentence * 65536 + sentences.
 
-    First is the smallest id, and within a text the first place; a null id comes last. Only keys go through the shuffles.
+    First is the smallest id, and within a text the first place; null ids come last, by a hash of the text. Only keys go through the shuffles.
     Counting combines on the map side, so a passage in a third of all texts sends one row a task; the join back is a
     plain equi-join of two written tables, whose hot keys Spark splits.
     """
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    whole_ids(docs, id_col)
+    ids = docs.select(placed_id(id_col, text_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,13 +131,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Sentences end with . ! or ? before white space, and at line ends; see LONG for the rest. White space and the case of
     A-Z do not tell runs apart; 64-bit hashes do. A removed sentence goes with the white space after it. A run keeps its first
-    occurrence, in the row with the smallest id; rows that share the smallest id, as repeated rows do, all keep it.
-    Null and empty texts stay as they are. An empty table gives an empty table. Input columns named as an output column
+    occurrence, in the row with the smallest id; rows that share the smallest id, as repeated rows do, all keep it. Null ids
+    come after all others, in the order of a hash of their texts. Ids are whole numbers below 2**62 (TypeError for other
+    types). Null and empty texts stay as they are. An empty table gives an empty table. Input columns named as an output column
     are replaced.
     """
     docs = plain(docs, "clean_text", "n_sentences_removed", "n_words_removed")
     gone = removed(docs, id_col, text_col)
-    left = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(text_col)})
+    left = docs.withColumns({"__id": placed_id(id_col, text_col), "__hash": F.xxhash64(text_col)})
     keys = gone.withColumnsRenamed({"id": "__gone_id", "text_hash": "__gone_hash"})
     joined = left.join(keys, (F.col("__id") == F.col("__gone_id")) & (F.col("__hash") == F.col("__gone_hash")), "left")
     joined = joined.select(*docs.columns, "__runs")
