@@ -47,7 +47,7 @@ def test_files_are_rolled(spark, edge_docs, edge_rows, file_ids, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = sorted(tuple(r) for r in token_output.read_tokens(manifest, folder, False).collect())
     assert got == sorted(expected(sorted((r[0], r[1] or "") for r in edge_rows if r[0] is not None)))
-    assert (manifest.count() > 2) == (file_ids < 1000) and manifest.agg({"n_docs": "sum"}).first()[0] == len(got)
+    assert (manifest.count() > 1) == (file_ids < 1000) and manifest.agg({"n_docs": "sum"}).first()[0] == len(got)
 
 
 def test_a_tokenizer_of_another_kind_encodes_whole_texts(spark):
