@@ -61,13 +61,38 @@ def chunked(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "
                 rank[order] = np.arange(len(order), dtype=np.int32)
                 sizes = (own.end - own.start)[order]
                 sorted_bytes = own.low[spans(own.start[order], sizes)]
-                out = [(b.column(3)[lo].as_py() << 32) + chunk, b.column(0)[lo:hi].to_pylist(), held.tobytes(), w.n.astype("<i4").tobytes(), rank[ids].astype("<i4").tobytes(), sorted_bytes.tobytes(), sizes.astype("<i4").tobytes(), trained[order].astype("<i8").tobytes(), len(order), int(trained.sum() + (~held).sum()), int((~held).sum())]
+                out = [(b.column(3)[lo].as_py() << 32) + chunk, b.column(0)[lo:hi].to_pylist(), held.tobytes(), w.n.astype("<i4").tobytes(), packed(rank[ids], len(order)), sorted_bytes.tobytes(), sizes.astype("<i4").tobytes(), trained[order].astype("<i8").tobytes(), len(order), int(trained.sum() + (~held).sum()), int((~held).sum())]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6, *[pa.int64()] * 3))], names=[x.split()[0] for x in schema.split(", ")])
                 chunk += 1
 
     return cut(rows.mapInArrow(run, schema), "lm-chunks", "zstd")
 
 
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, all first bytes first: what hardly changes then costs hardly anything once it
+    is compressed, on its way to a file or through a shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, width: int, kind: type) -> np.ndarray:
+    n = len(data) // width
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(kind)
+
+
+def packed(ids: np.ndarray, n_dict: int) -> bytes:
+    """Word numbers as ranks by frequency, whose upper bytes are mostly zero, behind the word number of each rank."""
+    of_rank = np.argsort(-np.bincount(ids, minlength=n_dict), kind="stable").astype("<i4")
+    rank = np.empty(n_dict, np.int32)
+    rank[of_rank] = np.arange(n_dict, dtype=np.int32)
+    return of_rank.tobytes() + planes(rank[ids], 4)
+
+
+def unpacked(data: bytes, sizes: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i4", len(sizes) // 4)[from_planes(data[len(sizes) :], 4, np.int32)]
+
+
 def one_by_one(batch: pa.RecordBatch) -> Iterator[list]:
     """Rows as Python values, one in memory at a time: a chunk is some MB."""
     for i in range(batch.num_rows):
@@ -167,7 +192,7 @@ def train_grams(chunks: DataFrame, bits: int) -> DataFrame:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             for held, n, ids, d, sizes in one_by_one(b):
-                s, past = stream(np.frombuffer(n, "<i4"), np.frombuffer(ids, "<i4"), d, sizes)
+                s, past = stream(np.frombuffer(n, "<i4"), unpacked(ids, sizes), d, sizes)
                 new, at = distinct(gram_keys(s, past, ~np.frombuffer(held, bool)))
                 keys, counts = summed(np.concatenate([keys, new]), np.concatenate([counts, np.bincount(at, minlength=len(new))]))
                 if len(keys) > 1_000_000:
@@ -186,6 +211,18 @@ def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((last * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
 
 
+def by_bucket_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by bucket and then by the last symbols of their contexts, and their buckets in that order."""
+    bucket = bucket_of(keys, bits)
+    order = np.lexsort((keys, (keys >> np.uint64(8)) & np.uint64(low(NEAR)), bucket))
+    return order, bucket[order]
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Numbers with 16 bits of mantissa, as single precision's bits: the error of a sum of many stays below 1e-5 of it."""
+    return (x.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)
+
+
 def low(symbols: int) -> int:
     return (1 << (8 * symbols)) - 1
 
@@ -303,7 +340,7 @@ def bucket_bits(chunks: DataFrame) -> int:
 
 
 def scores_back(chunks: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
-    """For each chunk and bucket, log10 probabilities of the chunk's distinct keys, by bucket and then by first sight.
+    """For each chunk and bucket, log10 probabilities of the chunk's distinct keys, in the order of ``by_bucket_of``.
 
     A group is a bucket, or where its contexts make up much of the text, its part for some of the chunks, with the
     bucket's counts for each; so groups do not grow with the corpus. Counts of a bucket are bounded by the alphabet.
@@ -317,19 +354,18 @@ def scores_back(chunks: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, n, ids, d, sizes in one_by_one(b):
-                key, _ = distinct(gram_keys(*stream(np.frombuffer(n, "<i4"), np.frombuffer(ids, "<i4"), d, sizes)))
-                bucket = bucket_of(key, bits)
-                order = np.argsort(bucket, kind="stable")
-                key, at = key[order], np.searchsorted(bucket[order], np.arange((1 << bits) + 1).astype(np.uint64))
+                key, _ = distinct(gram_keys(*stream(np.frombuffer(n, "<i4"), unpacked(ids, sizes), d, sizes)))
+                order, bucket = by_bucket_of(key, bits)
+                key, at = key[order], np.searchsorted(bucket, np.arange((1 << bits) + 1).astype(np.uint64))
                 some = np.flatnonzero(np.diff(at)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk % parts.get(i, 1) for i in some], pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array([key[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["bucket", "part", "chunk", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([chunk % parts.get(i, 1) for i in some], pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array([planes(key[at[i] : at[i + 1]], DEPTH + 1) for i in some], pa.binary())], names=["bucket", "part", "chunk", "keys"])
 
     def meet(asked: pa.Table, counts: pa.Table) -> pa.Table:
         near, above = shared.value
         own = dict(near)
         for level, kept in far_kept(counts.column("key").to_numpy().astype(np.uint64), counts.column("n").to_numpy(), above, max(all_symbols, 1)):
             with_level(own, level, kept, all_symbols)
-        found = [log_probabilities(np.frombuffer(x.as_py(), np.uint64), own, all_symbols).astype("<f4").tobytes() for x in asked.column("keys")]
+        found = [planes(rounded(log_probabilities(from_planes(x.as_py(), DEPTH + 1, np.uint64), own, all_symbols)), 4) for x in asked.column("keys")]
         return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(found, pa.binary())], names=["chunk", "bucket", "logp"])
 
     sent = chunks.select("chunk", "n", "ids", "dict", "sizes").mapInArrow(split, "bucket long, part long, chunk long, keys binary")
@@ -345,7 +381,7 @@ def text_scores(s: np.ndarray, past: np.ndarray, by_bucket: np.ndarray, bits: in
         return np.zeros(0)
     keys, at = distinct(gram_keys(s, past))
     logp = np.empty(len(keys))
-    logp[np.argsort(bucket_of(keys, bits), kind="stable")] = by_bucket
+    logp[by_bucket_of(keys, bits)[0]] = by_bucket
     sums = np.concatenate([[0.0], np.cumsum(logp[at])])
     ends = past - DEPTH * np.arange(1, len(past) + 1)
     return np.diff(sums[np.concatenate([[0], ends])])
@@ -376,10 +412,10 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_ids, held, n, ids, d, sizes, parts in one_by_one(b):
-                held, n, ids = np.frombuffer(held, bool), np.frombuffer(n, "<i4").astype(np.int64), np.frombuffer(ids, "<i4")
+                held, n, ids = np.frombuffer(held, bool), np.frombuffer(n, "<i4").astype(np.int64), unpacked(ids, sizes)
                 parts = sorted(parts or [], key=lambda x: x["bucket"])
                 c = np.frombuffer(b"".join(x["counts"] for x in parts if x["counts"] is not None), "<i8")
-                logp = np.frombuffer(b"".join(x["logp"] for x in parts if x["logp"] is not None), "<f4")
+                logp = np.concatenate([np.zeros(0, np.float32), *(from_planes(x["logp"], 4, np.float32) for x in parts if x["logp"] is not None)])
                 doc = np.repeat(np.arange(len(n)), n)
                 base = np.bincount(doc, (np.log10(c + 1.0) - floor)[ids], len(n)) + np.log10(ends + 1.0) - floor
                 known = np.bincount(doc, (c > 0)[ids], len(n)).astype(np.int64) + (1 if ends else 0)
