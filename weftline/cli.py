@@ -5,14 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans.config import Config
-from .plans.engine import MANIFEST, Engine
+from .plans.engine import Engine, last_commit, stored_config
 from .sources import corpus
 
 
@@ -47,21 +46,16 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def config_of(args: argparse.Namespace) -> Config:
-    stored = {}
-    try:
-        with open(os.path.join(args.storage, MANIFEST), encoding="utf-8") as f:
-            stored = json.load(f)["config"]
-    except FileNotFoundError:
-        pass
+def config_of(spark: SparkSession, args: argparse.Namespace, stored: bool = True) -> Config:
+    """Flags over the environment over what the index was stored with, unless a new one replaces it."""
     flags = {k: getattr(args, k, None) for k in ("chunk_size", "chunk_overlap", "extractor", "model", "top_k")}
-    return Config.from_env(stored, **flags, storage_dir=args.storage)
+    return Config.from_env(stored_config(spark, args.storage) if stored else {}, **flags, storage_dir=args.storage)
 
 
 def cmd_index(spark: SparkSession, args: argparse.Namespace) -> int:
-    config = config_of(args)
-    known = os.path.exists(os.path.join(args.storage, MANIFEST))
-    engine = Engine.load(spark, args.storage, config) if args.append and known else Engine(spark, config)
+    config = config_of(spark, args, args.append)
+    known = args.append and last_commit(spark, args.storage) is not None
+    engine = Engine.load(spark, args.storage, config) if known else Engine(spark, config)
     n = engine.add_path(args.path)
     if not n and not engine.tables["chunks"].limit(1).count():
         print(f"no readable text in {args.path}", file=sys.stderr)
@@ -69,30 +63,34 @@ def cmd_index(spark: SparkSession, args: argparse.Namespace) -> int:
     if n:
         engine.save(args.storage)
     print(f"indexed {n} new chunks" if n else "unchanged: nothing new to index")
+    print(json.dumps(engine.stats(), indent=2, ensure_ascii=False))
     return 0
 
 
 def cmd_query(spark: SparkSession, args: argparse.Namespace) -> int:
-    config = config_of(args)
+    config = config_of(spark, args)
     found = Engine.load(spark, args.storage, config).ask(args.question, config.top_k, not args.no_generate)
     if args.json:
         print(json.dumps(found, ensure_ascii=False, indent=2))
         return 0
     print(found["answer"])
+    if found["entities"]:
+        print(f"entities: {', '.join(found['entities'])}")
     for r in found["retrieved"]:
-        print(f"[{r['rank']}] {r['score']:.4f} {r['source']}: {r['text'][:180]}")
+        signals = " ".join(f"{name}={part:.4f}" for name, part in sorted(r["signals"].items()))
+        print(f"[{r['rank']}] {r['score']:.4f} ({signals}) {r['source']}: {r['text'][:180]}")
     return 0
 
 
 def cmd_stats(spark: SparkSession, args: argparse.Namespace) -> int:
-    print(json.dumps(Engine.load(spark, args.storage, config_of(args)).stats(), indent=2, ensure_ascii=False))
+    print(json.dumps(Engine.load(spark, args.storage, config_of(spark, args)).stats(), indent=2, ensure_ascii=False))
     return 0
 
 
 def cmd_entities(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.depth < 1:
         raise ValueError("depth must be 1 at least")
-    engine = Engine.load(spark, args.storage, config_of(args))
+    engine = Engine.load(spark, args.storage, config_of(spark, args))
     if not args.name:
         found = engine.stats()["graph"]
         print(f"{found['entities']} entities, {found['relationships']} relationships")
@@ -109,7 +107,7 @@ def cmd_entities(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def cmd_export(spark: SparkSession, args: argparse.Namespace) -> int:
-    engine = Engine.load(spark, args.storage, config_of(args))
+    engine = Engine.load(spark, args.storage, config_of(spark, args))
     if not engine.graph()[0].limit(1).count():
         print("the graph is empty", file=sys.stderr)
         return 1
@@ -119,7 +117,7 @@ def cmd_export(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def cmd_demo(spark: SparkSession, args: argparse.Namespace) -> int:
-    engine = Engine(spark, config_of(args))
+    engine = Engine(spark, config_of(spark, args))
     engine.index(corpus.demo(spark), ord_col="doc_ord")
     print(json.dumps(engine.stats(), indent=2))
     for q in corpus.DEMO_QUESTIONS:

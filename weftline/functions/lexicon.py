@@ -52,6 +52,14 @@ CONNECTORS = frozenset("of de and the for von van la".split())
 CJK_RANGES = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
 CJK = "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK_RANGES)
 
+# What may stand between two words of one name.
+JOINTS = (" ", "-", " - ")
+#: A word of any script with inner apostrophes and hyphens, or what stands between two words; RE2 reads it too.
+WORD_OR_GAP = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[^\p{L}\p{N}]+"
+CAPITAL = r"^\p{Lu}"
+LAST_CONNECTORS = rf"(?i)(?:(?:^| )(?:{'|'.join(sorted(CONNECTORS))}))+$"
+FIRST_CONNECTORS = r"^(?:[^\p{Lu} ][^ ]* )+"
+
 #: Letter or digit of any script but those, for Java's regular expressions, which intersect classes; and for RE2's.
 LETTER = rf"[\p{{L}}\p{{N}}&&[^{CJK}]]"
 LETTER_RE2 = rf"(?:[^\P{{L}}{CJK}]|[^\P{{N}}{CJK}])"

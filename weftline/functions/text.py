@@ -73,7 +73,7 @@ def relation_type(tokens: Column) -> Column:
     """Type of the first relation verb among the tokens, or ``co_occurs``."""
     verbs = F.create_map(*(F.lit(x) for pair in lexicon.VERBS.items() for x in pair))
     known = F.filter(tokens, lambda t: t.isin(*lexicon.VERBS))
-    return F.when(F.size(known) > 0, F.try_element_at(verbs, F.get(known, F.lit(0)))).otherwise(F.lit(lexicon.UNTYPED))
+    return let(F.get(known, F.lit(0)), lambda verb: F.coalesce(F.try_element_at(verbs, verb), F.lit(lexicon.UNTYPED)))
 
 
 def dot(a: Column, b: Column) -> Column:

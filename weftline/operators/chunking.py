@@ -13,15 +13,18 @@ def check_window(size: int, overlap: int) -> None:
         raise ValueError("chunk size must be positive and overlap from 0 to below it")
 
 
-def documents(df: DataFrame, text_col: str = "text", source_col: str | None = "source", ord_col: str | None = None) -> DataFrame:
-    """Rows as documents (doc_id, text, source, doc_ord): text normalised, empty text dropped, ids from the content.
+def documents(df: DataFrame, text_col: str = "text", source_col: str | None = "source", ord_col: str | None = None, id_col: str | None = None, metadata_col: str | None = None) -> DataFrame:
+    """Rows as documents (doc_id, text, source, doc_ord, metadata): text normalised, empty text dropped, ids from the content
+    unless ``id_col`` has one; ``metadata`` is JSON text and travels along.
 
     ``doc_ord`` orders documents; without a column for it, order of reading. An id that comes twice keeps its first row.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("inline")) if source_col else F.lit("inline")
     order = F.col(ord_col).cast("long") if ord_col else F.monotonically_increasing_id()
-    rows = df.select(X.normalize(F.col(text_col)).alias("text"), source.alias("source"), order.alias("doc_ord")).where(F.length("text") > 0)
-    rows = rows.select(X.document_id(F.col("source"), F.col("text")).alias("doc_id"), "text", "source", "doc_ord")
+    given = F.col(id_col).cast("string") if id_col else F.lit(None).cast("string")
+    metadata = F.coalesce(F.col(metadata_col).cast("string"), F.lit("{}")) if metadata_col else F.lit("{}")
+    rows = df.select(X.normalize(F.col(text_col)).alias("text"), source.alias("source"), order.alias("doc_ord"), given.alias("given"), metadata.alias("metadata")).where(F.length("text") > 0)
+    rows = rows.select(F.coalesce("given", X.document_id(F.col("source"), F.col("text"))).alias("doc_id"), "text", "source", "doc_ord", "metadata")
     return first_by(rows, ["doc_id"], "doc_ord")
 
 
@@ -47,11 +50,12 @@ def _windows(words: Column, size: int, step: int) -> Column:
 
 
 def chunks(docs: DataFrame, size: int = 180, overlap: int = 40) -> DataFrame:
-    """(chunk_id, doc_id, source, doc_ord, idx, text) of documents. A narrow map, without a shuffle."""
+    """(chunk_id, doc_id, source, doc_ord, idx, text, metadata) of documents. A narrow map, without a shuffle."""
     check_window(size, overlap)
-    found = docs.select("doc_id", "source", "doc_ord", F.posexplode(windows(F.split(F.col("text"), " "), size, overlap)).alias("idx", "w"))
-    found = found.select("doc_id", "source", "doc_ord", "idx", F.array_join("w", " ").alias("text")).where(F.length("text") > 0)
-    return found.select(X.chunk_id(F.col("doc_id"), F.col("idx"), F.col("text")).alias("chunk_id"), "doc_id", "source", "doc_ord", "idx", "text")
+    metadata = F.col("metadata") if "metadata" in docs.columns else F.lit("{}")
+    found = docs.select("doc_id", "source", "doc_ord", metadata.alias("metadata"), F.posexplode(windows(F.split(F.col("text"), " "), size, overlap)).alias("idx", "w"))
+    found = found.select("doc_id", "source", "doc_ord", "idx", "metadata", F.array_join("w", " ").alias("text")).where(F.length("text") > 0)
+    return found.select(X.chunk_id(F.col("doc_id"), F.col("idx"), F.col("text")).alias("chunk_id"), "doc_id", "source", "doc_ord", "idx", "text", "metadata")
 
 
 def not_yet(new: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import answer, chunking, dense, extract, fusion, graph, lexical
+from ..sources.tables import cut
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 
 QUESTION = "which of the then are not onouin that the ntti thereea and enanst"
@@ -102,49 +103,50 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 
 def cosine_batch(spark, sf_dir):
-    asked = read(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("qid"), "embedding")
-    return dense.search(vectors(spark, sf_dir), asked, 5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return nearest(spark, sf_dir, 5)
+
+
+def nearest(spark, sf_dir, k: int, min_score: float = 0.0) -> DataFrame:
+    """The stated query set, every vector whose id 50 divides, against all vectors."""
+    asked = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return dense.search(vectors(spark, sf_dir), asked, k, min_score).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def cosine_topk(spark, sf_dir):
-    return cosine_batch(spark, sf_dir).where("qid = 3")
+    """The first hit of each query but itself, where it is at all near."""
+    return nearest(spark, sf_dir, 2, 0.2).where(F.col("chunk_id") != F.lpad(F.col("qid").cast("string"), 12, "0"))
 
 
 def hashing_embed(spark, sf_dir):
-    found = chunks(spark, sf_dir).select("chunk_id", dense.embed(F.col("text")).alias("v"))
-    return found.select("chunk_id", F.size("v").alias("dim"), F.round(X.norm(F.col("v")), 4).alias("norm"))
+    found = dense.embedded(chunks(spark, sf_dir).select("chunk_id", "text"))
+    return found.select("chunk_id", F.size("embedding").alias("dim"), F.round(X.norm(F.col("embedding")), 4).alias("norm"))
 
 
 def key_phrases(spark, sf_dir):
     return extract.key_phrases(chunks(spark, sf_dir))
 
 
-def entities(spark, sf_dir):
-    return extract.facts(chunks(spark, sf_dir))[0].select("chunk_id", "ent_ord", "entity_key", "name", "type", "mentions")
+def facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Mentions and relations of all chunks, written once."""
+    return extract.tables(cut(extract.extracted(chunks(spark, sf_dir), extract.RuleExtractor()), "facts"))
 
 
-def relations(spark, sf_dir):
-    return extract.facts(chunks(spark, sf_dir))[1].select("chunk_id", "rel_ord", "source", "target", "type", "weight")
+def entities(spark, sf_dir):
+    found = extract.RuleExtractor().entities(X.sentences(F.col("text")))
+    rows = chunks(spark, sf_dir).select("chunk_id", F.posexplode(found).alias("ent_ord", "e"))
+    return rows.select("chunk_id", "ent_ord", F.col("e.key").alias("entity_key"), "e.name", "e.type", "e.mentions")
 
 
-def phrase_facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Facts that SQL can state too: a chunk's twelve most frequent key phrases, and links from each to the next."""
-    place = chunks(spark, sf_dir).select("chunk_id", "doc_ord", "idx")
-    best = Window.partitionBy("chunk_id").orderBy(F.desc("n"), "phrase")
-    ranked = extract.key_phrases(chunks(spark, sf_dir)).withColumn("ent_ord", F.row_number().over(best) - 1).where("ent_ord < 12").join(place, "chunk_id")
-    kind = F.when(F.length("phrase") > 9, "proper_noun").otherwise(F.concat(F.lit("concept"), (F.col("ent_ord") % 2).cast("string")))
-    mentions = ranked.select("chunk_id", "doc_ord", "idx", "ent_ord", F.col("phrase").alias("entity_key"), F.concat(F.col("phrase"), F.lit(":"), F.col("idx").cast("string")).alias("name"), kind.alias("type"), F.col("n").cast("int").alias("mentions"))
-    following = F.lead("entity_key").over(Window.partitionBy("chunk_id").orderBy("ent_ord"))
-    links = mentions.withColumn("target", following).where("target is not null")
-    return mentions, links.select("chunk_id", "doc_ord", "idx", F.col("ent_ord").alias("rel_ord"), F.col("entity_key").alias("source"), "target", F.when(F.col("ent_ord") % 3 == 0, "uses").otherwise("co_occurs").alias("type"), F.col("name").alias("context"), (1.0 + F.col("ent_ord") % 2).alias("weight"))
+def relations(spark, sf_dir):
+    return extract.tables(extract.extracted(chunks(spark, sf_dir), extract.RuleExtractor()))[1].select("chunk_id", "rel_ord", "source", "target", "type", "context", "weight")
 
 
 def node_merge(spark, sf_dir):
-    return graph.nodes(phrase_facts(spark, sf_dir)[0]).select("entity_key", "name", "type", "mentions", F.array_join("chunks", ",").alias("chunks"))
+    return graph.nodes(facts(spark, sf_dir)[0]).select("entity_key", "name", "type", "mentions", F.array_join("chunks", ",").alias("chunks"))
 
 
 def edge_merge(spark, sf_dir):
-    mentions, links = phrase_facts(spark, sf_dir)
+    mentions, links = facts(spark, sf_dir)
     return graph.edges(links, graph.nodes(mentions)).select("source", "target", "weight", F.array_join("types", ",").alias("types"), "context")
 
 
@@ -187,7 +189,7 @@ def ppr_fixed20(spark, sf_dir):
 
 
 def coverage_seeds(spark, sf_dir):
-    nodes = graph.nodes(phrase_facts(spark, sf_dir)[0])
+    nodes = graph.nodes(facts(spark, sf_dir)[0])
     return graph.covered(nodes, questions(spark, sf_dir))
 
 
@@ -198,11 +200,13 @@ def chunk_graph_score(spark, sf_dir):
     return ranks.join(where, "key").groupBy("chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
 
 
-def rankings(spark, sf_dir) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("qid"), F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "n_chars", "doc_id")
-    by = lambda name, *order: docs.select("qid", F.lit(name).alias("signal"), "chunk_id", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).alias("rank"))
-    both = by("vector", F.desc("n_chars"), "chunk_id").unionByName(by("keyword", F.col("doc_id") % 13, "chunk_id")).unionByName(by("graph", "doc_id"))
-    return both.where("rank <= 40")
+def rankings(spark, sf_dir, pool: int = 20) -> DataFrame:
+    """The pools of all questions by three ways to weigh BM25, under the names of the three signals."""
+    postings, lengths = lexical.index(chunks(spark, sf_dir))
+    postings, lengths = cut(postings, "postings"), cut(lengths, "lengths")
+    ways = {"keyword": (1.5, 0.75), "vector": (1.2, 0.0), "graph": (3.0, 1.0)}
+    found = [lexical.search(postings, lengths, questions(spark, sf_dir), pool, k1, b).select("qid", F.lit(name).alias("signal"), "chunk_id", "rank") for name, (k1, b) in ways.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def rrf_fuse(spark, sf_dir):
@@ -211,7 +215,7 @@ def rrf_fuse(spark, sf_dir):
 
 
 def bm25_hits(spark, sf_dir, k: int = 5) -> DataFrame:
-    pieces = chunks(spark, sf_dir)
+    pieces = cut(chunks(spark, sf_dir), "chunks")
     return lexical.search(*lexical.index(pieces), questions(spark, sf_dir), k).join(pieces.select("chunk_id", "text", "source"), "chunk_id")
 
 
@@ -224,15 +228,19 @@ def extractive_answer(spark, sf_dir):
 
 
 def incremental_dedup(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    known = chunking.documents(read(spark, sf_dir, "documents").where("doc_id % 3 = 0"), ord_col="doc_id")
-    return chunking.not_yet(docs, known, "doc_id").select("doc_id", "doc_ord")
+    """Documents and benchmark items come in together where the items are known already."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("ord"), "text", F.lit("benchmark").alias("source"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("ord"), "text", "source")
+    known = chunking.documents(items, ord_col="ord")
+    return chunking.not_yet(chunking.documents(docs.unionByName(items), ord_col="ord"), known, "doc_id").select("doc_id", "doc_ord")
 
 
 def upsert_last_wins(spark, sf_dir):
-    table = read(spark, sf_dir, "documents").groupBy("source").agg(F.max("n_chars").alias("value"))
-    new = read(spark, sf_dir, "documents").where("doc_id % 2 = 0 and source < 'src5'").select("source", F.col("n_chars").alias("value"), F.col("doc_id").alias("ord"))
-    return chunking.upsert(table, new, "source", "ord")
+    """The length of each document, which its labels replace, the toxic one as the later."""
+    table = read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("value"))
+    labels = read(spark, sf_dir, "labels")
+    new = labels.select("doc_id", F.col("quality").cast("long").alias("value"), F.lit(0).alias("ord")).unionByName(labels.select("doc_id", F.col("toxic").cast("long").alias("value"), F.lit(1).alias("ord")))
+    return chunking.upsert(table, new, "doc_id", "ord")
 
 
 def edge_integrity(spark, sf_dir):
@@ -242,9 +250,19 @@ def edge_integrity(spark, sf_dir):
 
 
 def communities(spark, sf_dir):
-    nodes = read(spark, sf_dir, "nation").select(F.col("n_name").alias("entity_key")).unionByName(read(spark, sf_dir, "region").select(F.concat(F.lit("region "), "r_name").alias("entity_key")))
-    links = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source"), F.concat(F.lit("region "), "r_name").alias("target"), F.lit(1.0).alias("weight"))
-    return graph.communities(nodes, links).select("community", "size", F.array_join("members", ",").alias("members"))
+    """Each customer with its orders: stars, whose modularity is greatest where each is one community."""
+    return graph.communities(*customers(spark, sf_dir)).select("community", "size", F.array_join("members", ",").alias("members"))
+
+
+def communities_trade(spark, sf_dir):
+    return graph.communities(*trade(spark, sf_dir)).select("community", "size", F.array_join("members", ",").alias("members"))
+
+
+def ppr_converged(spark, sf_dir):
+    """From several seeds at once, one of them unknown, until nothing moves; ranks of nodes within two steps."""
+    nodes, links = trade(spark, sf_dir)
+    seeds = spark.createDataFrame([(0, "p1"), (1, "s3"), (1, "p7"), (1, "nobody")], "qid long, key string")
+    return graph.pagerank(nodes, links, seeds, within=graph.reachable(nodes, links, seeds, 2)).select("qid", "key", F.round("score", 7).alias("score"))
 
 
 def html_corpus(spark, sf_dir):
@@ -274,6 +292,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalize_text, document_ids, chunk_windows, chunk_ids, tokenize_docs, tokenize_turns, content_tokens, sentences, ngram_counts, term_freq,
         doc_freq_idf, length_stats, bm25_topk, bm25_batch, cosine_topk, cosine_batch, hashing_embed, key_phrases, entities, relations, node_merge,
         edge_merge, degree_top, graph_stats, components, khop, ppr_fixed20, coverage_seeds, chunk_graph_score, rrf_fuse, context_budget,
-        extractive_answer, incremental_dedup, upsert_last_wins, edge_integrity, communities, html_corpus, hybrid_retrieve,
+        extractive_answer, incremental_dedup, upsert_last_wins, edge_integrity, communities, communities_trade, ppr_converged, html_corpus, hybrid_retrieve,
     )
 }

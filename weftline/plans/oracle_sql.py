@@ -64,7 +64,7 @@ def bm25(asked: str, k: int = 5) -> str:
 
 BATCH = bm25("SELECT item_id AS qid, text AS question FROM benchmark")
 COSINE = """WITH v AS (SELECT lpad(vec_id::VARCHAR, 12, '0') AS chunk_id, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    s AS (SELECT q.vec_id AS qid, v.chunk_id, coalesce(list_cosine_similarity(q.e, v.e), 0) AS score FROM v q, v WHERE q.vec_id < 10),
+    s AS (SELECT q.vec_id AS qid, v.chunk_id, coalesce(list_cosine_similarity(q.e, v.e), 0) AS score FROM v q, v WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 5)
     SELECT qid, chunk_id, round(score, 6) AS score, rank FROM r WHERE score > 0"""
 PHRASES = f"""{CHUNKS},
@@ -74,12 +74,31 @@ PHRASES = f"""{CHUNKS},
     runs AS (SELECT chunk_id, s, run, list(t ORDER BY i) AS w FROM good GROUP BY ALL),
     phrases AS (SELECT chunk_id, phrase, count(*) AS n FROM (SELECT chunk_id, unnest({grams('w', 1, 3)}) AS phrase FROM runs)
                 WHERE NOT list_has_any(string_split(phrase, ' '), {VERB}) GROUP BY ALL)"""
-FACTS = f"""{PHRASES},
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, phrase) - 1 AS ent_ord FROM phrases QUALIFY ent_ord < 12),
-    mentions AS (SELECT chunk_id, doc_ord, idx, ent_ord, phrase AS entity_key, phrase || ':' || idx AS name, CASE WHEN len(phrase) > 9 THEN 'proper_noun' ELSE 'concept' || (ent_ord % 2) END AS type, n AS mentions
-                 FROM ranked JOIN chunks USING (chunk_id)),
-    links AS (SELECT chunk_id, doc_ord, idx, ent_ord AS rel_ord, entity_key AS source, lead(entity_key) OVER (PARTITION BY chunk_id ORDER BY ent_ord) AS target,
-              CASE WHEN ent_ord % 3 = 0 THEN 'uses' ELSE 'co_occurs' END AS type, name AS context, 1.0 + ent_ord % 2 AS weight FROM mentions QUALIFY target IS NOT NULL),
+CONNECTOR = f"[{quoted(sorted(L.CONNECTORS))}]"
+JOINT = f"[{quoted(L.JOINTS)}]"
+KIND = "MAP {" + ", ".join(f"'{v}': '{k}'" for v, k in L.VERBS.items()) + "}"
+ENTITIES = f"""{PHRASES},
+    blotted AS (SELECT chunk_id, s, line, string_split(array_to_string(list_transform(regexp_extract_all(line, '{L.WORD_OR_GAP.replace("'", "''")}'), lambda p:
+        CASE WHEN regexp_matches(p, '{L.CAPITAL}') OR list_contains({CONNECTOR}, lower(p)) THEN p WHEN list_contains({JOINT}, p) THEN ' ' ELSE chr(1) END), ''), chr(1)) AS x FROM lines),
+    spans AS (SELECT chunk_id, s, line, unnest(generate_series(1, len(x))) AS i, trim(unnest(x)) AS x FROM blotted),
+    names AS (SELECT chunk_id, s, i, regexp_replace(regexp_replace(x, '{L.LAST_CONNECTORS}', ''), '{L.FIRST_CONNECTORS}', '') AS name, line FROM spans),
+    proper AS (SELECT chunk_id, lower(name) AS key, arg_min(name, (s, i)) AS name, count(*) AS np FROM names
+               WHERE NOT (i = 1 AND regexp_matches(line, '{L.CAPITAL}') AND NOT contains(name, ' ')) AND len(name) >= 3 AND NOT list_contains({STOP}, lower(name)) GROUP BY 1, 2),
+    candidates AS (SELECT chunk_id, key, coalesce(max(name), key) AS name, CASE WHEN max(np) > 0 THEN 'proper_noun' ELSE 'concept' END AS type, sum(np + n)::INT AS mentions, sum(2.0 * np + n * (0.5 + 0.5 * len(string_split(key, ' ')))) AS score
+                   FROM (SELECT chunk_id, key, name, np, 0 AS n FROM proper UNION ALL SELECT chunk_id, phrase, NULL, 0, n FROM phrases) GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, len(string_split(key, ' ')) DESC, key) AS r FROM candidates),
+    inner_ones AS (SELECT DISTINCT a.chunk_id, a.key FROM ranked a JOIN ranked b ON a.chunk_id = b.chunk_id AND b.r < a.r AND contains(' ' || b.key || ' ', ' ' || a.key || ' ')),
+    ents AS (SELECT chunk_id, (row_number() OVER (PARTITION BY chunk_id ORDER BY r) - 1)::INT AS ent_ord, key AS entity_key, name, type, mentions FROM ranked ANTI JOIN inner_ones USING (chunk_id, key) QUALIFY ent_ord < 12)"""
+RELATIONS = f"""{ENTITIES},
+    placed AS (SELECT chunk_id, s, line, lower(line) AS low, entity_key AS k, strpos(lower(line), entity_key) AS pos FROM lines JOIN ents USING (chunk_id) WHERE contains(lower(line), entity_key)),
+    linked AS (SELECT a.chunk_id, a.s, a.pos AS pos, a.k AS source, b.pos AS pos_b, b.k AS target, a.line[1:200] AS context,
+               CASE WHEN b.pos > a.pos + len(a.k) THEN substr(a.low, a.pos + len(a.k), b.pos - a.pos - len(a.k)) ELSE '' END AS between FROM placed a JOIN placed b ON a.chunk_id = b.chunk_id AND a.s = b.s AND (a.pos, a.k) < (b.pos, b.k)),
+    typed AS (SELECT *, coalesce({KIND}[list_filter({tokens('between')}, lambda t: list_contains({VERB}, t))[1]], '{L.UNTYPED}') AS type FROM linked),
+    firsts_of AS (SELECT * FROM typed QUALIFY row_number() OVER (PARTITION BY chunk_id, source, target, type ORDER BY s, pos, source, pos_b, target) = 1),
+    rels AS (SELECT chunk_id, (row_number() OVER (PARTITION BY chunk_id ORDER BY s, pos, source, pos_b, target) - 1)::INT AS rel_ord, source, target, type, context, CASE WHEN type = '{L.UNTYPED}' THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM firsts_of)"""
+FACTS = f"""{RELATIONS},
+    mentions AS (SELECT chunk_id, doc_ord, idx, ent_ord, entity_key, name, type, mentions FROM ents JOIN chunks USING (chunk_id)),
+    links AS (SELECT chunk_id, doc_ord, idx, rel_ord, source, target, type, context, weight FROM rels JOIN (SELECT chunk_id, doc_ord, idx FROM chunks) USING (chunk_id)),
     nodes AS (SELECT entity_key, arg_min(name, (doc_ord, idx, ent_ord)) AS name, CASE WHEN bool_or(type = 'proper_noun') THEN 'proper_noun' ELSE arg_min(type, (doc_ord, idx, ent_ord)) END AS type,
               sum(mentions)::BIGINT AS mentions, string_agg(DISTINCT chunk_id, ',' ORDER BY chunk_id) AS chunks FROM mentions GROUP BY 1)"""
 TRADE = """
@@ -93,11 +112,15 @@ SWEEPS = f"""{TRADE},
                 SELECT s.i + 1 AS i, b AS key, 0.85 * score * share AS score FROM sweep s JOIN share ON key = a WHERE s.i < 20
                 UNION ALL SELECT DISTINCT s.i + 1, 'p1', (1 - 0.85)::DOUBLE FROM sweep s WHERE s.i < 20) GROUP BY ALL),
     ranks AS (SELECT key, score FROM sweep WHERE i = 20 AND score > 0)"""
-RANKINGS = """
-    d AS (SELECT doc_id % 7 AS qid, 'd' || doc_id AS chunk_id, n_chars, doc_id FROM documents),
-    rk AS (SELECT qid, 'vector' AS signal, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY n_chars DESC, chunk_id) AS rank FROM d
-           UNION ALL SELECT qid, 'keyword', chunk_id, row_number() OVER (PARTITION BY qid ORDER BY doc_id % 13, chunk_id) FROM d),
-    parts AS (SELECT qid, chunk_id, signal, CASE signal WHEN 'keyword' THEN 0.7 ELSE 1.0 END / (60 + rank) AS part FROM rk WHERE rank <= 40)"""
+def scores(k1: float, b: float, name: str) -> str:
+    """CTEs up to {name}_best: the pool of 20 of each question by BM25 so weighed."""
+    return f"""{name}_s AS (SELECT qid, chunk_id, sum(idf * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * greatest(len, 1) / avg_len))) AS score
+               FROM terms JOIN postings USING (term) JOIN dfs USING (term) JOIN lengths USING (chunk_id), {STATS} GROUP BY ALL),
+    {name}_best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM {name}_s WHERE score > 0 QUALIFY rank <= 20)"""
+
+
+RANKINGS = f"""{BATCH}, {scores(1.5, 0.75, 'keyword')}, {scores(1.2, 0.0, 'vector')},
+    parts AS (SELECT qid, chunk_id, 'keyword' AS signal, 0.7 / (60 + rank) AS part FROM keyword_best UNION ALL SELECT qid, chunk_id, 'vector', 1.0 / (60 + rank) FROM vector_best)"""
 HITS = f"""{BATCH}, hits AS (SELECT qid, rank, chunk_id, text, source FROM best JOIN chunks USING (chunk_id))"""
 
 ORACLE_SQL = {
@@ -116,10 +139,11 @@ ORACLE_SQL = {
     "bm25_topk": f"WITH {bm25(f'''SELECT 0::BIGINT AS qid, '{QUESTION}' AS question''')} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM best",
     "bm25_batch": f"WITH {BATCH} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM best",
     "cosine_batch": COSINE,
-    "cosine_topk": f"SELECT * FROM ({COSINE}) WHERE qid = 3",
+    "cosine_topk": f"SELECT * FROM ({COSINE}) WHERE rank <= 2 AND score > 0.2 AND chunk_id <> lpad(qid::VARCHAR, 12, '0')",
+    "hashing_embed": f"WITH {INDEX} SELECT chunk_id, 512 AS dim, CASE WHEN len(t) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM toks",
     "key_phrases": f"WITH {PHRASES} SELECT * FROM phrases",
     "node_merge": f"WITH {FACTS} SELECT * FROM nodes",
-    "edge_merge": f"""WITH {FACTS}, firsts AS (SELECT source, target, type, sum(weight) AS weight, min((doc_ord, idx, rel_ord)) AS first, arg_min(context, (doc_ord, idx, rel_ord)) AS context FROM links WHERE source <> target GROUP BY ALL)
+    "edge_merge": f"""WITH {FACTS}, firsts AS (SELECT source, target, type, sum(weight) AS weight, min((doc_ord, idx, rel_ord)) AS first, arg_min(context, (doc_ord, idx, rel_ord)) AS context FROM links WHERE source <> target AND source IN (SELECT entity_key FROM nodes) AND target IN (SELECT entity_key FROM nodes) GROUP BY ALL)
         SELECT source, target, sum(weight)::DOUBLE AS weight, string_agg(type, ',' ORDER BY first) AS types, arg_min(context, first) AS context FROM firsts GROUP BY ALL""",
     "degree_top": f"WITH {TRADE} SELECT a AS entity, count(*) AS degree FROM both_ways GROUP BY 1 ORDER BY degree DESC, entity LIMIT 5",
     "graph_stats": f"""WITH RECURSIVE {TRADE}, reach AS (SELECT k, k AS r FROM tnodes WHERE k = (SELECT min(a) FROM both_ways) UNION SELECT b, r FROM reach JOIN both_ways ON k = a)
@@ -148,9 +172,14 @@ ORACLE_SQL = {
         said AS (SELECT qid, string_agg(line || ' [' || rank || ']', ' ' ORDER BY n) AS a FROM best3 GROUP BY 1)
         SELECT qid, CASE WHEN qid NOT IN (SELECT qid FROM hits) THEN 'I don''t have enough information in the indexed corpus to answer that.'
             ELSE coalesce(a, 'The retrieved passages do not directly answer that question. Closest available context is listed in the sources below.') END AS answer FROM asked LEFT JOIN said USING (qid)""",
-    "incremental_dedup": f"WITH {DOCS}, known AS (SELECT 'doc-' || substr(sha1(source || ':' || text), 1, 12) AS k FROM norm WHERE doc_ord % 3 = 0) SELECT doc_id, doc_ord FROM docs WHERE doc_id NOT IN (SELECT k FROM known)",
-    "upsert_last_wins": """WITH t AS (SELECT source, max(n_chars) AS value FROM documents GROUP BY 1), n AS (SELECT source, arg_max(n_chars, doc_id) AS value FROM documents WHERE doc_id % 2 = 0 AND source < 'src5' GROUP BY 1)
-        SELECT * FROM n UNION ALL SELECT * FROM t WHERE source NOT IN (SELECT source FROM n)""",
+    "incremental_dedup": f"""WITH rows_in AS (SELECT doc_id::BIGINT AS ord, text, source FROM documents UNION ALL SELECT item_id::BIGINT, text, 'benchmark' FROM benchmark),
+        ids AS (SELECT 'doc-' || substr(sha1(coalesce(source, 'inline') || ':' || {norm('text')}), 1, 12) AS doc_id, ord, source FROM rows_in WHERE {norm('text')} <> '')
+        SELECT doc_id, min(ord) AS doc_ord FROM ids GROUP BY 1 HAVING NOT bool_or(coalesce(source, '') = 'benchmark')""",
+    "upsert_last_wins": "SELECT doc_id, n_chars::BIGINT AS value FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, toxic::BIGINT FROM labels",
+    "entities": f"WITH {ENTITIES} SELECT * FROM ents",
+    "relations": f"WITH {RELATIONS} SELECT * FROM rels",
+    "communities": """WITH e AS (SELECT 'o' || o_orderkey AS o, 'c' || o_custkey AS c FROM orders), m AS (SELECT c, o AS k FROM e UNION ALL SELECT c, c FROM (SELECT 'c' || c_custkey AS c FROM customer) UNION SELECT c, c FROM e)
+        SELECT min(k) AS community, count(*)::INT AS size, string_agg(k, ',' ORDER BY k) AS members FROM (SELECT DISTINCT * FROM m) GROUP BY c""",
     "edge_integrity": f"WITH {TRADE} SELECT source, target, weight FROM tedges",
     "html_corpus": rf"SELECT page_id, {norm(r'''regexp_replace(regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')''')} AS text FROM pages",
 }
