@@ -76,6 +76,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as ``copies`` says."""
+    """The mix itself: the columns of ``docs``, each row as often as ``copies`` says, with all that is stated there of nulls,
+    ties, repeats and empty tables. A column named ``size``, ``source_size``, ``target`` or ``copies`` gets that figure."""
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return copies(docs, **options).where("copies > 0").select(*docs.columns, times.alias("__copy")).select(*docs.columns)

@@ -71,7 +71,27 @@ def quality(docs: str, p: str = "q") -> str:
                      OR 100 * n_dup_lines > 40 * n_lines OR word_chars < 2 * n_words OR word_chars > 30 * n_words) AS kept FROM {p}_f)"""
 
 
+def sharding(docs: str, order: str, p: str = "s") -> str:
+    """CTEs up to {p}_out: the columns of ``docs``, and size, shard (of 24) and r, the place in the order."""
+    return f"""
+    {p}_r AS (SELECT *, octet_length(encode(coalesce(text, ''))) + 8 AS size, row_number() OVER (ORDER BY {order}) AS r FROM {docs}),
+    {p}_b AS (SELECT *, sum(size) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM {p}_r),
+    {p}_out AS (SELECT *, least(23, before * 24 // total)::INT AS shard FROM {p}_b)"""
+
+
+# Fixed value: the polynomial of CRC-32, its lowest bit first.
+POLYNOMIAL = 0xEDB88320
+#: CTEs up to crcs(doc_id, text_crc32): CRC-32 of the text's UTF-8 bytes, by a table of what each byte does.
+CRC32 = f"""
+    steps AS (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, {POLYNOMIAL}) ELSE a >> 1 END) AS c FROM range(256) t(i)),
+    crc_table AS (SELECT list(c ORDER BY i) AS c FROM steps),
+    hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    bytes_of AS (SELECT doc_id, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM hexed),
+    crcs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, crc_table.c[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes_of, crc_table)"""
+
 OP1 = f"WITH RECURSIVE {jaccard('documents', 4, 85)} SELECT doc_id, n_shingles, component_id FROM j_out"
+OP4 = f"""WITH {sharding('documents', 'doc_id')}, {CRC32}
+    SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY r) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM s_out JOIN crcs USING (doc_id)"""
 OP5 = f"WITH {mixing('documents')} SELECT doc_id, size, source_size, target, size * copies AS taken FROM m_out"
 OP6 = f"WITH {decontamination('documents')} SELECT * FROM c_out"
 OP7 = f"WITH {quality('documents')} SELECT * FROM q_out"
@@ -81,7 +101,5 @@ PIPELINE = f"""WITH RECURSIVE {quality('documents')},
     d2 AS (SELECT d.* FROM d1 d JOIN j_out USING (doc_id) WHERE n_shingles = 0 OR component_id = doc_id), {decontamination('d2')},
     d3 AS (SELECT d.* FROM d2 d JOIN c_out USING (doc_id) WHERE NOT contaminated), {mixing('d3')},
     d4 AS (SELECT doc_id, d.text, d.lang, d.source, d.n_chars, unnest(range(copies)) AS copy FROM d3 d JOIN m_out m USING (doc_id)),
-    d5 AS (SELECT *, octet_length(encode(coalesce(text, ''))) + 8 AS size, row_number() OVER (ORDER BY doc_id, copy) AS r FROM d4),
-    d6 AS (SELECT *, sum(size) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM d5),
-    d7 AS (SELECT *, least(23, before * 24 // total)::INT AS shard FROM d6)
-    SELECT doc_id, text, lang, source, n_chars, size::BIGINT AS size, shard, (row_number() OVER (PARTITION BY shard ORDER BY r) - 1)::BIGINT AS slot FROM d7"""
+    {sharding('d4', 'doc_id, copy')}
+    SELECT doc_id, text, lang, source, n_chars, size::BIGINT AS size, shard, (row_number() OVER (PARTITION BY shard ORDER BY r) - 1)::BIGINT AS slot FROM s_out"""

@@ -76,4 +76,4 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_lm_scoring, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": oracles.OP1, "op5_mixing": oracles.OP5, "op6_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": oracles.OP1, "op4_sharding": oracles.OP4, "op5_mixing": oracles.OP5, "op6_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7}
