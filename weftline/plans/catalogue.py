@@ -75,7 +75,7 @@ def ngram_counts(spark, sf_dir):
 
 
 def term_freq(spark, sf_dir):
-    return lexical.index(chunks(spark, sf_dir))[0]
+    return lexical.index(chunks(spark, sf_dir))[0].drop("len")
 
 
 def doc_freq_idf(spark, sf_dir):
