@@ -31,10 +31,6 @@ def content_tokens(text: str, min_length: int = 3) -> list[str]:
     return [t for t in tokenize(text) if t not in _STOP and (len(t) >= min_length or _HAS_CJK.search(t))]
 
 
-def is_stopword(token: str) -> bool:
-    return token in _STOP
-
-
 def sentences(text: str) -> list[str]:
     return [s for s in map(normalize, _ENDS.split(text)) if s]
 
