@@ -355,8 +355,8 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         groups, members = grouped(sets, labels)
         more = cut(verified(pairs(groups, members), sets, percent), "links")
         if more.limit(1).count():
-            found = found.unionByName(more)
-            labels = cut(classes(found), "classes")
+            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = cut(classes(known.unionByName(more.select("a", "b"))), "classes")
     return labels
 
 
