@@ -96,6 +96,15 @@ OP5 = f"WITH {mixing('documents')} SELECT doc_id, size, source_size, target, siz
 OP6 = f"WITH {decontamination('documents')} SELECT * FROM c_out"
 OP7 = f"WITH {quality('documents')} SELECT * FROM q_out"
 
+# Of fill-in-the-middle: unit k of the list that begins with 0 ends where a cut after k units lies.
+UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+OP11 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+    h AS (SELECT *, list_transform(range(4), lambda i: ('0x' || x[8 * i + 1:8 * i + 8])::BIGINT) AS h, list_transform(regexp_extract_all(t, '{UNIT}'), lambda u: len(u)) AS s FROM d),
+    f AS (SELECT *, len(s)::BIGINT AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    c AS (SELECT *, coalesce(list_sum(s[1:least(h[1] % (n + 1), h[2] % (n + 1))]), 0)::BIGINT AS a, coalesce(list_sum(s[1:greatest(h[1] % (n + 1), h[2] % (n + 1))]), 0)::BIGINT AS b FROM f),
+    o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:a] || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) ELSE '<S>' || substr(t, b + 1) || '<P>' || t[1:a] || '<M>' || substr(t, a + 1, b - a) END AS o FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
 PIPELINE = f"""WITH RECURSIVE {quality('documents')},
     d1 AS (SELECT d.* FROM documents d JOIN q_out USING (doc_id) WHERE kept), {jaccard('d1', 5, 80)},
     d2 AS (SELECT d.* FROM d1 d JOIN j_out USING (doc_id) WHERE n_shingles = 0 OR component_id = doc_id), {decontamination('d2')},

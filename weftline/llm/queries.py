@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, mixing, ngram_jaccard, oracles, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from . import decontamination, fill_in_middle, language_id, lm_scoring, mixing, ngram_jaccard, oracles, quality_rules, secret_scan, sharding, substring_dedup, token_output
 from .shared import crc32_of_id, cut, read as read_table, small_batches
 
 
@@ -75,5 +75,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_lm_scoring, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": oracles.OP1, "op4_sharding": oracles.OP4, "op5_mixing": oracles.OP5, "op6_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    again = fill_in_middle.restored(F.col("fim_text"), F.col("form"))
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", sha(F.col("fim_text")).alias("output_sha256"), sha(again).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_lm_scoring, op10_token_output, op11_fill_in_middle)}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": oracles.OP1, "op4_sharding": oracles.OP4, "op5_mixing": oracles.OP5, "op6_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7, "op11_fill_in_middle": oracles.OP11}
