@@ -104,6 +104,13 @@ OP11 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || co
     c AS (SELECT *, coalesce(list_sum(s[1:least(h[1] % (n + 1), h[2] % (n + 1))]), 0)::BIGINT AS a, coalesce(list_sum(s[1:greatest(h[1] % (n + 1), h[2] % (n + 1))]), 0)::BIGINT AS b FROM f),
     o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:a] || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) ELSE '<S>' || substr(t, b + 1) || '<P>' || t[1:a] || '<M>' || substr(t, a + 1, b - a) END AS o FROM c)
     SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+OP13 = f"""WITH w AS (SELECT doc_id, regexp_extract_all({low('text')}, '{ALNUM}') AS w FROM documents),
+    d AS (SELECT doc_id, len(w)::BIGINT AS n, count(*) OVER () AS n_docs, (sum(len(w)) OVER ())::BIGINT AS length FROM w WHERE len(w) > 0),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL),
+    t AS (SELECT term, floor(1000 * ln((2 * (SELECT count(*) FROM d) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p GROUP BY 1),
+    i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({low('text')}, '{ALNUM}')) AS term FROM benchmark),
+    s AS (SELECT item_id, doc_id, sum(t.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // length))))::BIGINT AS score FROM i JOIN t USING (term) JOIN p USING (term) JOIN d USING (doc_id) GROUP BY ALL)
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
 
 PIPELINE = f"""WITH RECURSIVE {quality('documents')},
     d1 AS (SELECT d.* FROM documents d JOIN q_out USING (doc_id) WHERE kept), {jaccard('d1', 5, 80)},

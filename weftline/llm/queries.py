@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_in_middle, language_id, lm_scoring, mixing, ngram_jaccard, oracles, packing, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from . import decontamination, fill_in_middle, language_id, lm_scoring, mixing, ngram_jaccard, oracles, packing, quality_rules, ranked_search, secret_scan, sharding, substring_dedup, token_output
 from .shared import crc32_of_id, cut, read as read_table, small_batches
 
 
@@ -90,5 +90,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.join(sequences, "sequence_id").select(*digest.columns, "size", "step")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_lm_scoring, op10_token_output, op11_fill_in_middle, op12_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": oracles.OP1, "op4_sharding": oracles.OP4, "op5_mixing": oracles.OP5, "op6_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7, "op11_fill_in_middle": oracles.OP11}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_secret_scan, op4_sharding, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_lm_scoring, op10_token_output, op11_fill_in_middle, op12_packing, op13_ranked_search)}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": oracles.OP1, "op4_sharding": oracles.OP4, "op5_mixing": oracles.OP5, "op6_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7, "op11_fill_in_middle": oracles.OP11, "op13_ranked_search": oracles.OP13}
