@@ -57,7 +57,7 @@ def cmd_index(spark: SparkSession, args: argparse.Namespace) -> int:
     known = args.append and last_commit(spark, args.storage) is not None
     engine = Engine.load(spark, args.storage, config) if known else Engine(spark, config)
     n = engine.add_path(args.path)
-    if not n and not engine.tables["chunks"].limit(1).count():
+    if not n and not engine.table("chunks").limit(1).count():
         print(f"no readable text in {args.path}", file=sys.stderr)
         return 1
     if n:

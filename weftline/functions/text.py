@@ -41,8 +41,9 @@ def tokenize(text: Column) -> Column:
     """Lower-case words of any script, in order; an elided article is split off once; CJK characters stand alone."""
     found = F.transform(F.regexp_extract_all(text, F.lit(lexicon.token_pattern(lexicon.LETTER)), F.lit(0)), F.lower)
     elision = lexicon.elision_pattern(lexicon.LETTER)
-    split = F.transform(found, lambda t: F.when(t.rlike(elision), F.array(F.regexp_extract(t, elision, 1), F.regexp_extract(t, elision, 2))).otherwise(F.array(t)))
-    return F.coalesce(F.flatten(split), F.array().cast("array<string>"))
+    split = lambda ts: F.flatten(F.transform(ts, lambda t: F.when(t.rlike(elision), F.array(F.regexp_extract(t, elision, 1), F.regexp_extract(t, elision, 2))).otherwise(F.array(t))))
+    articles = F.when(text.rlike(f"[{lexicon.APOSTROPHES}]"), split(found)).otherwise(found)
+    return F.coalesce(articles, F.array().cast("array<string>"))
 
 
 def is_content(token: Column, min_length: int = MIN_LENGTH) -> Column:
@@ -69,6 +70,18 @@ def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     return let(tokens, lambda t: F.concat(*(of(t, k) for k in range(low, high + 1))))
 
 
+def runs_of(sorted_rows: Column, key) -> Column:
+    """(from, size) of each run of rows with equal ``key(row)``."""
+    new = lambda i: (i == 0) | (key(F.get(sorted_rows, i)) != key(F.get(sorted_rows, i - 1)))
+    starts = F.filter(F.when(F.size(sorted_rows) > 0, F.sequence(F.lit(0), F.size(sorted_rows) - 1)).otherwise(F.array().cast("array<int>")), new)
+    return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(i.alias("from"), (F.coalesce(F.get(at, k + 1), F.size(sorted_rows)) - i).alias("size"))))
+
+
+def counted(values: Column) -> Column:
+    """(value, n) of each different value of an array, without a shuffle."""
+    return let(F.sort_array(values), lambda s: F.transform(runs_of(s, lambda x: x), lambda r: F.struct(F.get(s, r["from"]).alias("value"), r["size"].alias("n"))))
+
+
 def relation_type(tokens: Column) -> Column:
     """Type of the first relation verb among the tokens, or ``co_occurs``."""
     verbs = F.create_map(*(F.lit(x) for pair in lexicon.VERBS.items() for x in pair))

@@ -74,19 +74,20 @@ def ngram_counts(spark, sf_dir):
 
 
 def term_freq(spark, sf_dir):
-    return lexical.index(chunks(spark, sf_dir))[0].drop("len")
+    return lexical.postings(lexical.analysed(chunks(spark, sf_dir))).select("chunk_id", "term", "tf")
 
 
 def doc_freq_idf(spark, sf_dir):
-    return lexical.document_frequencies(*lexical.index(chunks(spark, sf_dir))).select("term", "df", F.round("idf", 9).alias("idf"))
+    rows = cut(lexical.analysed(chunks(spark, sf_dir)), "terms")
+    return lexical.document_frequencies(rows).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def length_stats(spark, sf_dir):
-    return lexical.average_length(lexical.index(chunks(spark, sf_dir))[1]).select("n", F.round("avg_len", 9).alias("avg_len"))
+    return lexical.average_length(lexical.analysed(chunks(spark, sf_dir))).select("n", F.round("avg_len", 9).alias("avg_len"))
 
 
 def bm25(spark, sf_dir, asked: DataFrame) -> DataFrame:
-    return lexical.search(*lexical.index(chunks(spark, sf_dir)), asked, 5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.search(lexical.index(chunks(spark, sf_dir)), asked, 5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_topk(spark, sf_dir):
@@ -141,7 +142,8 @@ def relations(spark, sf_dir):
 
 
 def node_merge(spark, sf_dir):
-    return graph.nodes(facts(spark, sf_dir)[0]).select("entity_key", "name", "type", "mentions", F.array_join("chunks", ",").alias("chunks"))
+    mentions = facts(spark, sf_dir)[0]
+    return graph.with_chunks(graph.nodes(mentions), mentions).select("entity_key", "name", "type", "mentions", F.array_join("chunks", ",").alias("chunks"))
 
 
 def edge_merge(spark, sf_dir):
@@ -201,10 +203,9 @@ def chunk_graph_score(spark, sf_dir):
 
 def rankings(spark, sf_dir, pool: int = 20) -> DataFrame:
     """The pools of all questions by three ways to weigh BM25, under the names of the three signals."""
-    postings, lengths = lexical.index(chunks(spark, sf_dir))
-    postings, lengths = cut(postings, "postings"), cut(lengths, "lengths")
+    index = lexical.index(chunks(spark, sf_dir))
     ways = {"keyword": (1.5, 0.75), "vector": (1.2, 0.0), "graph": (3.0, 1.0)}
-    found = [lexical.search(postings, lengths, questions(spark, sf_dir), pool, k1, b).select("qid", F.lit(name).alias("signal"), "chunk_id", "rank") for name, (k1, b) in ways.items()]
+    found = [lexical.search(index, questions(spark, sf_dir), pool, k1, b).select("qid", F.lit(name).alias("signal"), "chunk_id", "rank") for name, (k1, b) in ways.items()]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -215,7 +216,7 @@ def rrf_fuse(spark, sf_dir):
 
 def bm25_hits(spark, sf_dir, k: int = 5) -> DataFrame:
     pieces = cut(chunks(spark, sf_dir), "chunks")
-    return lexical.search(*lexical.index(pieces), questions(spark, sf_dir), k).join(pieces.select("chunk_id", "text", "source"), "chunk_id")
+    return lexical.search(lexical.index(pieces), questions(spark, sf_dir), k).join(pieces.select("chunk_id", "text", "source"), "chunk_id")
 
 
 def context_budget(spark, sf_dir):
