@@ -12,7 +12,8 @@ from weftline.llm import queries, substring_dedup
 
 
 def sentence_lists(texts):
-    """Each text as lists of words, by the rules of bounds in plain Python; only the hashes of word pairs are the operator's."""
+    """Each text's pieces as (words, number of the sentence), by the rules of bounds in plain Python; only the hashes of word
+    pairs are the operator's."""
     out = []
     for text in texts:
         raw = text.encode()
@@ -31,23 +32,22 @@ def sentence_lists(texts):
         for i in range(len(pair) - substring_dedup.SPLIT + 1):
             smallest.add(max((k for k in range(i, i + substring_dedup.SPLIT) if pair[k] == min(pair[i : i + substring_dedup.SPLIT]))))
         own, start = [], 0
-        for e in ends:
-            cuts = [k for k in range(start, e) if k in smallest] if e + 1 - start > substring_dedup.LONG else []
-            for c in (*cuts, e):
-                own.append(tuple(low[start : c + 1]))
+        for number, e in enumerate(ends):
+            near = lambda k, a=start, b=e: k + 1 - a <= substring_dedup.NEAR and b - k <= substring_dedup.NEAR
+            for c in (*(k for k in range(start, e) if k in smallest and not near(k)), e):
+                own.append((tuple(low[start : c + 1]), number))
                 start = c + 1
         out.append(own)
     return out
 
 
 def brute(rows):
-    found, own = defaultdict(list), {}
-    for (i, t), sents in zip(rows, sentence_lists([t or "" for _, t in rows])):
-        own[i] = sents
+    found, own, numbers = defaultdict(list), {}, {}
+    for (i, t), pieces in zip(rows, sentence_lists([t or "" for _, t in rows])):
+        sents = own[i] = [p for p, _ in pieces]
+        numbers[i] = [n for _, n in pieces]
         for j in range(len(sents)):
             k = next((k for k in range(substring_dedup.RUN, len(sents) - j + 1) if sum(map(len, sents[j : j + k])) >= substring_dedup.LEAST_WORDS), 0)
-            if not k and len(sents) - j >= substring_dedup.RUN:
-                k = len(sents) - j
             if not k and j == 0 and sum(map(len, sents)) >= substring_dedup.LEAST_WORDS:
                 k = len(sents)
             if k:
@@ -56,7 +56,7 @@ def brute(rows):
     for run, places in found.items():
         for i, j in sorted(places)[1:]:
             gone[i] |= set(range(j, j + len(run)))
-    return {i: (len(gone[i]), sum(len(s[j]) for j in gone[i]), b" ".join(b" ".join(x) for j, x in enumerate(s) if j not in gone[i])) for i, s in own.items()}
+    return {i: (len({numbers[i][j] for j in gone[i]}), sum(len(s[j]) for j in gone[i]), b" ".join(b" ".join(x) for j, x in enumerate(s) if j not in gone[i])) for i, s in own.items()}
 
 
 def test_query_against_brute_force(spark, sf_dir):
@@ -98,6 +98,39 @@ def test_every_passage_of_51_words_without_stops_is_found(spark):
     assert all(substring_dedup.LEAST_WORDS <= out[2 * i + 1] <= 51 for i in range(n))
 
 
+@pytest.mark.parametrize("low,high", [(12, 16), (14, 16), (8, 16), (12, 20), (3, 9), (1, 4), (51, 51), (30, 30)])
+@pytest.mark.parametrize("words", [51, 60, 80])
+def test_passages_are_found_whatever_stands_at_their_ends(low, high, words):
+    """Passages with sentences of some lengths, alone in one text or glued at both ends; each pair shares a run."""
+    for seed in range(400):
+        rng = random.Random(seed)
+        bare = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+        parts, left = [], words
+        while left:
+            n = min(left, rng.randint(low, high))
+            parts.append(bare(n) + rng.choice([".", "!", "?", '."']))
+            left -= n
+        passage = " ".join(parts)
+        alone, glued = passage, f"{bare(25)} {passage[:-1]} {bare(25)}"
+        stopped = f"{bare(9)}. {passage} {bare(9)}."
+        lined = f"{bare(9)}\n{passage}\n{bare(9)}"
+        keys = [set(substring_dedup.runs(pa.array([t]))[0].tolist()) for t in (alone, glued, stopped, lined)]
+        assert all(a & b for i, a in enumerate(keys) for b in keys[i + 1 :]), seed
+
+
+def test_glued_passages_lose_most_of_their_words(spark):
+    rows, n = [], 300
+    for seed in range(n):
+        rng = random.Random(seed)
+        bare = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+        passage = " ".join(f"{bare(rng.randint(12, 16))}." for _ in range(4)).split()[:51]
+        rows += [(2 * seed, " ".join(passage)), (2 * seed + 1, f"{bare(30)} {' '.join(passage)} {bare(30)}")]
+    out = {r["doc_id"]: r["n_words_removed"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    removed = [out[2 * i + 1] for i in range(n)]
+    assert all(out[2 * i] == 0 for i in range(n)) and min(removed) >= substring_dedup.LEAST_WORDS and max(removed) <= 51
+    assert sum(removed) / n > 40
+
+
 def test_edges(spark, edge_docs, no_docs):
     out = substring_dedup.dedup(edge_docs.withColumns({"Clean_text": F.lit(1), "id": F.lit(2), "text_hash": F.lit(3), "key": F.lit(4), "at": F.lit(5)})).collect()
     assert len(out) == edge_docs.count()

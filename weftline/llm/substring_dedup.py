@@ -1,5 +1,5 @@
-"""Substring dedup: every run of several consecutive sentences is hashed and joined globally, and sentences covered by any
-non-first repeated run are removed."""
+"""Substring dedup: every run of several consecutive sentences, or pieces of long ones, is hashed and joined globally, and those
+covered by any non-first repeated run are removed."""
 
 from __future__ import annotations
 
@@ -14,27 +14,29 @@ from pyspark.sql import types as T
 from .shared import cut, plain, whole_ids
 from .vec import LOWER, SPACE, Words, flat, mix, powers, slices, spans, words
 
-#: Sentences in a run. One with fewer words than LEAST_WORDS takes in further sentences until it has as many.
+#: Pieces in a run. One with fewer words than LEAST_WORDS takes in further pieces until it has as many.
 RUN, LEAST_WORDS = 3, 12
 #: A stop within so many words after another ends no sentence, so lists and shouted words make no one-word sentences.
 CLOSE = 3
-#: A sentence with more words is cut after word pairs of the smallest hash among any SPLIT in a row; so text without
-#: stops, and a passage glued to other text at its ends, has sentences too. The cuts are the same wherever it stands but
-#: for the first and last SPLIT words, and no more than SPLIT words apart: 6 * SPLIT words without stops hold a run.
-LONG, SPLIT = 16, 8
+#: Sentences are cut into pieces after word pairs of the smallest hash among any SPLIT in a row, so text without stops, and a
+#: passage glued to other text at its ends, has bounds too. Whether there is a bound depends on SPLIT words before and after
+#: alone: in a passage of n words the bounds but for the outer SPLIT - 1 on either side are the same wherever it stands, and
+#: those are SPLIT words apart at most. Whole pieces thus cover n - 30 words, 21 of 51, and a run needs no more than 19.
+#: A cut that would leave NEAR words at most on either side of it in its sentence is not made.
+SPLIT, NEAR = 8, 4
 STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 CLOSERS = np.isin(np.arange(256), np.frombuffer(b"\"')]", np.uint8))
 #: From here on stand rows with a null id, in the order of a hash of their texts; other ids are below.
 NO_ID = 1 << 62
 
 
-def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words; the number of each sentence's first word; the number past its last; its hash."""
+def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words; of each piece of a sentence the number of its first word, the number past its last, its hash, its sentence."""
     w = words(texts, SPACE, LOWER)
     n = len(w.start)
     if not n:
         none = np.zeros(0, np.int64)
-        return w, none, none, none.astype(np.uint64)
+        return w, none, none, none.astype(np.uint64), none
     raw, _ = flat(texts)
     lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])
     last = w.low[w.end - 1]
@@ -46,16 +48,23 @@ def sentences(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
         crowded[k:] |= stop[:-k] & (w.doc[k:] == w.doc[:-k])
     stop = (stop & ~crowded) | edge
     number = np.cumsum(stop) - stop
-    long = np.bincount(number)[number] > LONG
     h = w.hashes()
     pair = np.append(mix(h[:-1] * np.uint64(3) + h[1:]), np.uint64(1))
-    stop |= long & smallest(pair, w.doc)
+    stop |= smallest(pair, w.doc) & ~short(stop, w.doc)
     past = np.flatnonzero(stop) + 1
     first = np.append(0, past[:-1])
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(h * up[:n], out=sums[1:])
-    return w, first, past, mix((sums[past] - sums[first]) * down[first] + (past - first).astype(np.uint64))
+    return w, first, past, mix((sums[past] - sums[first]) * down[first] + (past - first).astype(np.uint64)), number[first]
+
+
+def short(stop: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the sentence of a word begins and ends within NEAR words of the bound after it."""
+    n = np.arange(len(stop))
+    begin = np.maximum.accumulate(np.where(np.append(True, stop[:-1] | (doc[1:] != doc[:-1])), n, 0))
+    end = np.append(n[stop], len(stop))[np.searchsorted(n[stop], n)]
+    return (n + 1 - begin <= NEAR) & (end - n <= NEAR)
 
 
 def smallest(pair: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -69,9 +78,9 @@ def smallest(pair: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def runs(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of each run: its hash, its text's number, its first sentence's number within the text, its number of sentences,
-    and whether the text has had the same run before. A text too short for a run is one run if it has LEAST_WORDS."""
-    w, first, past, h = sentences(texts)
+    """Of each run: its hash, its text's number, its first piece's number within the text, its number of pieces, and whether
+    the text has had the same run before. A text of fewer pieces than a run has is one run if it has LEAST_WORDS."""
+    w, first, past, h, _ = sentences(texts)
     if not len(first):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none, none.astype(bool)
@@ -82,8 +91,7 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, ...]:
     at = np.arange(len(first))
     to = np.maximum(at + RUN, np.searchsorted(past, first + LEAST_WORDS) + 1)
     whole = (at == begin[doc]) & (to > end[doc]) & (past[end[doc] - 1] - first >= LEAST_WORDS)
-    tail = (to > end[doc]) & (end[doc] - at >= RUN)  # the last sentences of a text, with fewer words
-    to = np.where(whole | tail, end[doc], to)
+    to = np.where(whole, end[doc], to)
     at = at[to <= end[doc]]
     to, doc = to[at], doc[at]
     up, down = powers(len(h) + 1)
@@ -102,7 +110,7 @@ def placed_id(id_col: str, text_col: str):
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, __runs): for each text with something to remove, its non-first runs, as first sentence * 65536 + sentences.
+    """(id, text_hash, __runs): for each text with something to remove, its non-first runs, as first piece * 65536 + pieces.
 
     First is the smallest id, and within a text the first place; null ids come last, by a hash of the text. Only keys go through the shuffles.
     Counting combines on the map side, so a passage in a third of all texts sends one row a task; the join back is a
@@ -129,8 +137,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``clean_text``, ``n_sentences_removed`` and ``n_words_removed``.
 
-    Sentences end with . ! or ? before white space, and at line ends; see LONG for the rest. White space and the case of
-    A-Z do not tell runs apart; 64-bit hashes do. A removed sentence goes with the white space after it. A run keeps its first
+    Sentences end with . ! or ? before white space, and at line ends, and are cut into pieces (see SPLIT); what is removed are
+    whole pieces, and ``n_sentences_removed`` counts the sentences that lose any. White space and the case of A-Z do not tell
+    runs apart; 64-bit hashes do. A removed piece goes with the white space after it. A run keeps its first
     occurrence, in the row with the smallest id; rows that share the smallest id, as repeated rows do, all keep it. Null ids
     come after all others, in the order of a hash of their texts. Ids are whole numbers below 2**62 (TypeError for other
     types). Null and empty texts stay as they are. An empty table gives an empty table. Input columns named as an output column
@@ -157,8 +166,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def without(text: pa.Array, gone: np.ndarray) -> tuple[str, int, int]:
-    """One text without the sentences of the runs ``gone``; sentences and words removed."""
-    w, first, past, _ = sentences(text)
+    """One text without the pieces of the runs ``gone``; sentences that lose any, and words removed."""
+    w, first, past, _, sentence = sentences(text)
     drop = np.zeros(len(first), bool)
     drop[spans(gone >> 16, gone & 0xFFFF)] = True
     raw, _ = flat(text)
@@ -166,4 +175,4 @@ def without(text: pa.Array, gone: np.ndarray) -> tuple[str, int, int]:
     end = np.append(begin[1:], len(raw))
     keep = np.ones(len(raw), bool)
     keep[spans(begin[drop], (end - begin)[drop])] = False
-    return raw[keep].tobytes().decode(), int(drop.sum()), int((past - first)[drop].sum())
+    return raw[keep].tobytes().decode(), len(np.unique(sentence[drop])), int((past - first)[drop].sum())
