@@ -122,6 +122,12 @@ def hashing_embed(spark, sf_dir):
     return found.select("chunk_id", F.size("embedding").alias("dim"), F.round(X.norm(F.col("embedding")), 4).alias("norm"))
 
 
+def native_embed(spark, sf_dir):
+    """Every component that is not zero."""
+    found = chunks(spark, sf_dir).select("chunk_id", F.explode(dense.NativeEmbedder().sparse(F.col("text"))).alias("x"))
+    return found.select("chunk_id", "x.pos", F.round("x.value", 6).alias("value"))
+
+
 def key_phrases(spark, sf_dir):
     return extract.key_phrases(chunks(spark, sf_dir))
 
@@ -290,7 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, document_ids, chunk_windows, chunk_ids, tokenize_docs, tokenize_turns, content_tokens, sentences, ngram_counts, term_freq,
-        doc_freq_idf, length_stats, bm25_topk, bm25_batch, cosine_topk, cosine_batch, hashing_embed, key_phrases, entities, relations, node_merge,
+        doc_freq_idf, length_stats, bm25_topk, bm25_batch, cosine_topk, cosine_batch, hashing_embed, native_embed, key_phrases, entities, relations, node_merge,
         edge_merge, degree_top, graph_stats, components, khop, ppr_fixed20, coverage_seeds, chunk_graph_score, rrf_fuse, context_budget,
         extractive_answer, incremental_dedup, upsert_last_wins, edge_integrity, communities, communities_trade, ppr_converged, html_corpus, hybrid_retrieve,
     )

@@ -141,6 +141,10 @@ ORACLE_SQL = {
     "cosine_batch": COSINE,
     "cosine_topk": f"SELECT * FROM ({COSINE}) WHERE rank <= 2 AND score > 0.2 AND chunk_id <> lpad(qid::VARCHAR, 12, '0')",
     "hashing_embed": f"WITH {INDEX} SELECT chunk_id, 512 AS dim, CASE WHEN len(t) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM toks",
+    "native_embed": f"""WITH {INDEX}, g AS (SELECT chunk_id, gram, count(*) AS n FROM (SELECT chunk_id, unnest({grams('t', 1, 2)}) AS gram FROM toks) GROUP BY ALL),
+        h AS (SELECT chunk_id, (('0x' || md5(gram)[1:15])::BIGINT % 512)::INT AS pos, CASE WHEN md5(gram)[16] < '8' THEN 1.0::DOUBLE ELSE -1.0 END * (1 + ln(n)) AS v FROM g),
+        p AS (SELECT chunk_id, pos, sum(v) AS v FROM h GROUP BY ALL HAVING abs(sum(v)) > 1e-12)
+        SELECT chunk_id, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY chunk_id)), 6) AS value FROM p""",
     "key_phrases": f"WITH {PHRASES} SELECT * FROM phrases",
     "node_merge": f"WITH {FACTS} SELECT * FROM nodes",
     "edge_merge": f"""WITH {FACTS}, firsts AS (SELECT source, target, type, sum(weight) AS weight, min((doc_ord, idx, rel_ord)) AS first, arg_min(context, (doc_ord, idx, rel_ord)) AS context FROM links WHERE source <> target AND source IN (SELECT entity_key FROM nodes) AND target IN (SELECT entity_key FROM nodes) GROUP BY ALL)
@@ -153,6 +157,17 @@ ORACLE_SQL = {
     "khop": f"""WITH RECURSIVE {TRADE}, seed AS (SELECT * FROM (VALUES (0::BIGINT, 'p1'), (1, 's3'), (1, 'p7'), (2, 'nobody')) s(qid, key) WHERE key IN (SELECT k FROM tnodes)),
         reach AS (SELECT qid, key, 0 AS hops FROM seed UNION SELECT qid, b, hops + 1 FROM reach JOIN both_ways ON key = a WHERE hops < 2) SELECT qid, key, min(hops) AS hops FROM reach GROUP BY ALL""",
     "ppr_fixed20": f"WITH RECURSIVE {SWEEPS} SELECT key, round(score, 9) AS score FROM ranks",
+    "ppr_converged": f"""WITH RECURSIVE {TRADE}, share AS (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS share FROM both_ways),
+        seed AS (SELECT * FROM (VALUES (0::BIGINT, 'p1'), (1, 's3'), (1, 'p7'), (1, 'nobody')) s(qid, key) WHERE key IN (SELECT k FROM tnodes)),
+        restart AS (SELECT qid, key, 1.0::DOUBLE / count(*) OVER (PARTITION BY qid) AS r FROM seed),
+        reach AS (SELECT qid, key, 0 AS hops FROM seed UNION SELECT qid, b, hops + 1 FROM reach JOIN both_ways ON key = a WHERE hops < 2), near AS (SELECT DISTINCT qid, key FROM reach),
+        sweep AS (SELECT 0 AS i, qid, key, r AS score FROM restart
+                  UNION ALL SELECT i, qid, key, sum(score) FROM (
+                    SELECT s.i + 1 AS i, s.qid, b AS key, 0.85 * score * share AS score FROM sweep s JOIN share ON key = a WHERE s.i < 100
+                    UNION ALL SELECT DISTINCT s.i + 1, r.qid, r.key, (1 - 0.85)::DOUBLE * r.r FROM sweep s JOIN restart r USING (qid) WHERE s.i < 100) GROUP BY ALL),
+        moved AS (SELECT x.i, x.qid, sum(abs(x.score - coalesce(y.score, 0))) AS delta FROM sweep x LEFT JOIN sweep y ON y.i = x.i - 1 AND y.qid = x.qid AND y.key = x.key WHERE x.i > 0 GROUP BY ALL),
+        stop AS (SELECT qid, coalesce(min(i) FILTER (delta < 1e-8), 100) AS i FROM moved GROUP BY qid)
+        SELECT qid, key, round(score, 7) AS score FROM sweep JOIN stop USING (qid, i) JOIN near USING (qid, key) WHERE score > 0""",
     "chunk_graph_score": f"WITH RECURSIVE {SWEEPS} SELECT target AS chunk_id, round(sum(score), 9) AS score FROM ranks JOIN tedges ON source = key GROUP BY 1",
     "coverage_seeds": f"""WITH {FACTS}, asked AS (SELECT DISTINCT item_id AS qid, unnest({content('text')}) AS w FROM benchmark),
         parts AS (SELECT DISTINCT entity_key, mentions, unnest(string_split(entity_key, ' ')) AS w FROM nodes), sizes AS (SELECT entity_key, count(*) AS size FROM parts GROUP BY 1),
