@@ -218,11 +218,6 @@ def by_bucket_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, bucket[order]
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    """Numbers with 16 bits of mantissa, as single precision's bits: the error of a sum of many stays below 1e-5 of it."""
-    return (x.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)
-
-
 def low(symbols: int) -> int:
     return (1 << (8 * symbols)) - 1
 
@@ -343,7 +338,7 @@ def scores_back(chunks: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
     """For each chunk and bucket, log10 probabilities of the chunk's distinct keys, in the order of ``by_bucket_of``.
 
     A group is a bucket, or where its contexts make up much of the text, its part for some of the chunks, with the
-    bucket's counts for each; so groups do not grow with the corpus. Counts of a bucket are bounded by the alphabet.
+    bucket's counts for each; so groups do not grow with the corpus. Log probabilities travel in single precision. Counts of a bucket are bounded by the alphabet.
     """
     states, last, all_symbols = near_states(grams)
     sc = chunks.sparkSession.sparkContext
@@ -365,13 +360,13 @@ def scores_back(chunks: DataFrame, grams: DataFrame, bits: int) -> DataFrame:
         own = dict(near)
         for level, kept in far_kept(counts.column("key").to_numpy().astype(np.uint64), counts.column("n").to_numpy(), above, max(all_symbols, 1)):
             with_level(own, level, kept, all_symbols)
-        found = [planes(rounded(log_probabilities(from_planes(x.as_py(), DEPTH + 1, np.uint64), own, all_symbols)), 4) for x in asked.column("keys")]
+        found = [planes(log_probabilities(from_planes(x.as_py(), DEPTH + 1, np.uint64), own, all_symbols).astype(np.float32).view(np.uint32), 4) for x in asked.column("keys")]
         return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(found, pa.binary())], names=["chunk", "bucket", "logp"])
 
     sent = chunks.select("chunk", "n", "ids", "dict", "sizes").mapInArrow(split, "bucket long, part long, chunk long, keys binary")
-    table = F.create_map(*(F.lit(v) for pair in parts.items() for v in pair)) if parts else None
-    n_parts = F.coalesce(F.try_element_at(table, F.col("bucket")), F.lit(1)) if parts else F.lit(1)
-    dealt = grams.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), n_parts.cast("long") - 1)).alias("part"), "key", "n")
+    table = grams.sparkSession.createDataFrame(list(parts.items()), "bucket long, parts long")
+    n_parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = grams.join(table, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("part"), "key", "n")
     return cut(sent.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInArrow(meet, "chunk long, bucket long, logp binary"), "lm-logp", "zstd")
 
 
