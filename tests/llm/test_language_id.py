@@ -90,6 +90,24 @@ def test_filters_come_near_to_sets_with_many_languages(spark):
     assert all(abs(a - b[1]) < 0.02 for a, b in zip(got[1], want))
 
 
+def test_a_thousand_labels(spark, monkeypatch):
+    """A model's size goes with the n-grams of one language and the number of labels, not with their product."""
+    rng = random.Random(4)
+    words = {f"l{k:04}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(1000)}
+    rows = [(" ".join(rng.choices(w, k=60)), lang) for lang, w in words.items() for _ in range(2)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.langs) == 1000 and model.masks.shape == (16, 1 << 16)
+    asked = [" ".join(rng.choices(w, k=20)) for w in words.values()]
+    monkeypatch.setattr(language_id, "SUMS", 10_000)  # ten texts at a time
+    monkeypatch.setattr(language_id, "AT_ONCE", 64)
+    got = model.predict(pa.array([*asked, None, ""]))
+    assert got[0] == [*words, "und", "und"] and got[1][-2:] == [0, 0] and min(got[1][:-2]) > 0.5
+    monkeypatch.setattr(language_id, "MOST_CELLS", 1 << 19)
+    with pytest.raises(ValueError, match="cells"):
+        language_id.fit(docs)
+
+
 def test_the_sample_is_bounded(spark, monkeypatch):
     """Null ids, or one text in all rows, weigh no more than others."""
     docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("word "), F.col("id"))).otherwise("alas").alias("text"), F.lit("en").alias("lang"))
