@@ -33,6 +33,8 @@ SHARE, LEAST = 0.3, 2
 #: can give one increase, so a small model serves many labels.
 CELLS_PER_GRAM, HASHES, MOST_HASHES, SEED = 16, 2, 8, 17
 FOLD = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)], np.uint8)
+#: Odd, one for each hash function and one for what they share.
+FACTORS = mix(np.arange(1, MOST_HASHES + 2, dtype=np.uint64)) | np.uint64(1)
 HAS_LETTER = r"\pL"
 
 
@@ -53,9 +55,10 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def cells(g: np.ndarray, size: int, hashes: int = HASHES) -> list[np.ndarray]:
     """Where each n-gram's masks stand: one place for each hash function. size: a power of two."""
-    h = mix(g.astype(np.uint64) + np.uint64(1))
-    step, bits = (h >> np.uint64(32)) | np.uint64(1), np.uint64(size - 1)
-    return [((h + np.uint64(k) * step) & bits).astype(np.int64) for k in range(hashes)]
+    h = g * FACTORS[-1]
+    h ^= h >> np.uint64(32)
+    shift = np.uint64(65 - size.bit_length())
+    return [(h * f >> shift).view(np.int64) for f in FACTORS[:hashes]]
 
 
 @dataclass
@@ -81,7 +84,7 @@ class Model:
             some = np.flatnonzero(row)
             for lo in range(0, len(some), AT_ONCE):
                 at = some[lo : lo + AT_ONCE]
-                word, bit = np.nonzero(np.unpackbits(row[at].view(np.uint8).reshape(len(at), -1), axis=1, bitorder="little"))
+                word, bit = np.divmod(np.flatnonzero(np.unpackbits(row[at].view(np.uint8), bitorder="little").view(bool)), bits)
                 first, last = doc[at[0]], doc[at[-1]] + 1
                 sums = np.bincount((doc[at[word]] - first).astype(np.int64) * bits + bit, minlength=(last - first) * bits)
                 out[first:last, w * bits : (w + 1) * bits] += sums.reshape(-1, bits)
@@ -116,7 +119,7 @@ class Model:
         g, doc = grams(texts)
         n = np.bincount(doc, minlength=len(texts))
         hits = np.zeros((len(texts), len(self.langs)), np.int64)
-        step = max(1, AT_ONCE * 8 // len(self.masks))
+        step = max(1, AT_ONCE // len(self.masks))
         for lo in range(0, len(g), step):
             own = doc[lo : lo + step]
             hits[own[0] : own[-1] + 1] += self.popcounts(self.found(g[lo : lo + step]), own - own[0], int(own[-1] - own[0]) + 1)
